@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
+from calibra.llm.fingerprints import op10_bottom_k
+from calibra.llm.language import op5_rank_profiles
+from calibra.llm.mixing import OP1_SQL, op1_hierarchical_mix
 from calibra.llm.packing import op8_power_packing
+from calibra.llm.tokenfile import op2_token_files
 
-QUERIES = {"op8_power_packing": op8_power_packing}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_hierarchical_mix": op1_hierarchical_mix,
+    "op2_token_files": op2_token_files,
+    "op5_rank_profiles": op5_rank_profiles,
+    "op8_power_packing": op8_power_packing,
+    "op10_bottom_k": op10_bottom_k,
+}
+ORACLE_SQL = {"op1_hierarchical_mix": OP1_SQL}

@@ -7,6 +7,8 @@ shingles they are exact.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ SHINGLE, K = 5, 128
 RANGE = 1 << 48
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, though body names it often: an expression is else copied to each place."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def word_hashes(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1)), lambda w: F.xxhash64(w))
 
@@ -35,7 +42,7 @@ def bottom_k(hashes: Column, k: int = K) -> Column:
 
 
 def sketch(text: Column, size: int = SHINGLE, k: int = K) -> Column:
-    return bottom_k(shingle_hashes(word_hashes(text), size), k)
+    return let(word_hashes(text), lambda words: bottom_k(shingle_hashes(words, size), k))
 
 
 def merged(a: Column, b: Column, k: int = K) -> Column:
@@ -50,9 +57,12 @@ def distinct_shingles(s: Column, k: int = K) -> Column:
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
     """Jaccard similarity of the shingle sets, estimated on the sketch of both; 1 if both are empty."""
-    both = merged(a, b, k)
-    common = F.size(F.array_intersect(F.array_intersect(both, a), b))
-    return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(common / F.greatest(F.size(both), F.lit(1)))
+
+    def of(both: Column) -> Column:
+        common = F.size(F.array_intersect(F.array_intersect(both, a), b))
+        return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(common / F.greatest(F.size(both), F.lit(1)))
+
+    return let(merged(a, b, k), of)
 
 
 def containment(a: Column, b: Column, k: int = K) -> Column:
@@ -63,7 +73,7 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
 
 def printed(s: Column) -> Column:
     """A sketch as text: base64 of its hashes, six bytes each."""
-    return F.base64(F.unhex(F.concat_ws("", F.transform(s, lambda h: F.lpad(F.hex(h), 12, "0")))))
+    return F.translate(F.base64(F.unhex(F.concat_ws("", F.transform(s, lambda h: F.lpad(F.hex(h), 12, "0"))))), "\r\n", "")
 
 
 def with_next(docs: DataFrame, carried: list[str], buckets: int) -> DataFrame:

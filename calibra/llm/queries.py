@@ -6,6 +6,7 @@ from calibra.llm.fingerprints import op10_bottom_k
 from calibra.llm.html import op3_wrappers
 from calibra.llm.jaccard import op4_grouped_prefix_join
 from calibra.llm.language import op5_rank_profiles
+from calibra.llm.lines import op9_fuzzy_lines
 from calibra.llm.mixing import OP1_SQL, op1_hierarchical_mix
 from calibra.llm.neighbours import op6_learned_partitions
 from calibra.llm.packing import op8_power_packing
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_learned_partitions": op6_learned_partitions,
     "op7_deleted_interpolation": op7_deleted_interpolation,
     "op8_power_packing": op8_power_packing,
+    "op9_fuzzy_lines": op9_fuzzy_lines,
     "op10_bottom_k": op10_bottom_k,
 }
 ORACLE_SQL = {"op1_hierarchical_mix": OP1_SQL}

@@ -26,6 +26,7 @@ from calibra.llm.shingles import set_key, shingle_set
 COMMON_DF, COMMON_BITS = 32, 1 << 25
 #: The share of all hashes that is counted: prefixes are the least hashes, and end below it unless most of a text is common.
 COUNTED = 0.36
+PARITY_BITS = 1024
 SHARD_BYTES, LEAST_SHARDS, HELD = 24 << 20, 64, 2 << 20
 
 
@@ -102,11 +103,27 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-SIGNATURE = "doc_id long, n long, k1 long, k2 long, g1 long, g2 long, prefix array<long>"
+def parity(s: np.ndarray) -> np.ndarray:
+    """Whether each of PARITY_BITS buckets of hashes holds an odd number of a set's: differing bits are so many differences at least."""
+    return np.packbits(np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS).astype(np.uint8) & 1).view(np.int64)
+
+
+def may_link(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """pairs(a, b) without those whose sizes or parities show that they differ too much; no link is lost.
+
+    Two sets have the similarity p / 100 just if (100 + p) times their differences are at most (100 - p) times their sizes.
+    """
+    of = lambda name: sketches.select(F.col("cid").alias(name), F.col("n").alias(f"n_{name}"), F.col("parity").alias(f"p_{name}"))
+    apart = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, m: n + m)
+    apart = F.greatest(apart, F.abs(F.col("n_a") - F.col("n_b")))
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
+
+
+SIGNATURE = "doc_id long, n long, k1 long, k2 long, g1 long, g2 long, parity array<long>, prefix array<long>"
 
 
 def _sign(size: int, percent: int, common) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    kinds = [pa.int64()] * 6 + [pa.list_(pa.int64())]
+    kinds = [pa.int64()] * 6 + [pa.list_(pa.int64())] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
@@ -114,7 +131,7 @@ def _sign(size: int, percent: int, common) -> Callable[[Iterator[pa.RecordBatch]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
                 s = shingle_set(text, size)
                 first = ordered(s, common.value)[: prefix_length(len(s), percent)] if len(s) else s
-                out.append((doc_id, len(s), *set_key(s), *set_key(first), first.view(np.int64)))
+                out.append((doc_id, len(s), *set_key(s), *set_key(first), parity(s), first.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [f.split()[0] for f in SIGNATURE.split(", ")])
 
     return run
@@ -165,7 +182,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     members = signed.filter("n > 0 and doc_id is not null")
     classes = members.groupBy("k1", "k2").agg(F.min("doc_id").alias("cid"))
     # A class's row is its least doc_id's; of repeated rows any will do, as they are equal.
-    reps = members.join(classes, ["k1", "k2"]).filter("doc_id = cid").select("cid", "n", "g1", "g2").distinct()
+    reps = saved(members.join(classes, ["k1", "k2"]).filter("doc_id = cid").select("cid", "n", "g1", "g2", "parity").distinct(), "classes")
     groups = reps.groupBy("g1", "g2", "n").agg(F.min("cid").alias("gid"))
     grouped = saved(reps.join(groups, ["g1", "g2", "n"]).select("cid", "gid", "n"), "groups")
     heads = grouped.filter("cid = gid").select("gid").distinct()
@@ -180,7 +197,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sized = star.select(F.col("gid").alias("x"), F.col("pivot").alias("y")).join(of("x"), "x").join(of("y"), "y").filter(fits)
     met = sized.join(grouped.select("cid", F.col("gid").alias("x")), "x").select(F.col("cid").alias("a"), F.col("y").alias("b"))
     within = grouped.filter("cid <> gid").select(F.col("cid").alias("a"), F.col("gid").alias("b"))
-    links = verified(saved(met.union(within).distinct(), "met"), docs, size, percent)
+    links = verified(saved(may_link(met.union(within), reps, percent), "met"), docs, size, percent)
     labels = connected_components(links)
 
     # What a group's classes belong to so far; a list is done if all its groups are in one component.
@@ -198,7 +215,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     torn = spans.filter("low < high").select(F.col("gid").alias("x"), F.col("gid").alias("y"))
     each = lambda end, name: now.select(F.col("gid").alias(end), F.col("cid").alias(name), F.col("component").alias(f"of_{name}"))
     more = cross.union(torn).join(each("x", "a"), "x").join(each("y", "b"), "y").filter("of_a <> of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = saved(more.distinct().join(links, ["a", "b"], "left_anti"), "more")
+    more = saved(may_link(more.distinct(), reps, percent).join(links, ["a", "b"], "left_anti"), "more")
     final = connected_components(links.union(verified(more, docs, size, percent)))
     out = signed.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left").join(final.withColumnRenamed("id", "cid"), "cid", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "cid")).otherwise(F.col("doc_id"))

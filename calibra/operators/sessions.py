@@ -79,8 +79,8 @@ MOST_DATES = 20
 def test_dates(rows: DataFrame, classes: list[str], share=TEST_SHARE, aim=TEST_AIM, test_least=TEST_LEAST, rest_least=REST_LEAST) -> DataFrame:
     """The set of dates for the test part: dates, images, gap. rows has id, day, classes (an array).
 
-    All proper subsets of at most MOST_DATES dates are tried on counts by date and class. The fewest dates apart from
-    the aim win, and of equals the first list of dates.
+    All proper subsets of at most MOST_DATES dates are tried on counts by date and class. The least gap from the
+    aim wins, and of equals the first list of dates; without any it is an error.
     """
     by_day = rows.groupBy("day").agg(F.count("*").alias("images"))
     n_days = by_day.count()
@@ -99,7 +99,9 @@ def test_dates(rows: DataFrame, classes: list[str], share=TEST_SHARE, aim=TEST_A
     part = F.col("images") / F.col("all")
     fine = part.between(*share) & (F.array_min("test") >= test_least) & (F.array_min(F.zip_with("every", "test", lambda e, t: e - t)) >= rest_least)
     good = tried.filter(fine).select(F.transform("in", lambda d: d["day"]).alias("dates"), "images", F.abs(part - aim).alias("gap"))
-    return good.agg(F.min_by(F.struct("dates", "images", "gap"), F.struct("gap", "dates")).alias("b")).select("b.dates", "b.images", "b.gap")
+    best = good.agg(F.min_by(F.struct("dates", "images", "gap"), F.struct("gap", "dates")).alias("b"))
+    found = F.when(F.col("b").isNull(), F.raise_error(F.lit("no set of dates satisfies the rule")).cast("boolean")).otherwise(F.lit(True))
+    return best.filter(found).select("b.dates", "b.images", "b.gap")
 
 
 def val_sessions(pool: DataFrame, classes: list[str], n: int, share=VAL_SHARE, trials=VAL_TRIALS, seed=VAL_SEED) -> DataFrame:

@@ -16,6 +16,25 @@ MANIFEST = "file string, published_split string, width int, height int, captured
 LABELS = "_annotations.coco.json"
 
 
+def whole_texts(spark: SparkSession, paths: list[tuple[str, str]]) -> DataFrame:
+    """key and value: each file's text. Spark's own readers pass over names that begin with an underscore."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for b in batches:
+            out = []
+            for path in b.column("path").to_pylist():
+                store, at = fs.FileSystem.from_uri(path)
+                with store.open_input_stream(at) as f:
+                    out.append(f.read().decode())
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(out, pa.string())], ["key", "value"])
+
+    listed = spark.createDataFrame(paths, "key string, path string")
+    return listed.repartition(max(1, len(paths)), "key").mapInArrow(run, "key string, value string")
+
+
 def read_coco(spark: SparkSession, folder: str, splits: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """images(split, ord, image, file_name, width, height) and boxes(split, image, gt_idx, cls, x, y, w, h) of an export.
 
@@ -23,10 +42,8 @@ def read_coco(spark: SparkSession, folder: str, splits: list[str] | None = None)
     are in `images`. A box of an unknown image or category is an error.
     """
     splits = splits or SPLITS
-    raw = None
-    for i, s in enumerate(splits):
-        one = spark.read.schema(COCO).json(f"{folder}/{s}/{LABELS}", multiLine=True).select(F.lit(s).alias("split"), F.lit(i).alias("split_ord"), "*")
-        raw = one if raw is None else raw.unionByName(one)
+    order = F.array_position(F.array(*map(F.lit, splits)), F.col("key")) - 1
+    raw = whole_texts(spark, [(x, f"{folder}/{x}/{LABELS}") for x in splits]).select(F.col("key").alias("split"), order.alias("split_ord"), F.from_json("value", COCO).alias("c")).select("split", "split_ord", "c.*")
     images = raw.select("split", "split_ord", F.posexplode("images").alias("pos", "i"))
     images = images.select("split", (F.col("split_ord") * F.lit(1 << 40) + F.col("pos")).alias("ord"), F.coalesce("i.extra.name", "i.file_name").alias("image"), "i.file_name", F.col("i.id").alias("id"), "i.width", "i.height")
     names = raw.select("split", F.explode("categories").alias("c")).select("split", F.col("c.id").alias("category_id"), F.col("c.name").alias("cls"))

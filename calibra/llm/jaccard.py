@@ -26,7 +26,8 @@ from calibra.llm.shingles import set_key, shingle_set
 COMMON_DF, COMMON_BITS = 32, 1 << 25
 #: The share of all hashes that is counted: prefixes are the least hashes, and end below it unless most of a text is common.
 COUNTED = 0.36
-PARITY_BITS = 1024
+#: Bits of every set's parities, and more for sets over so many shingles.
+PARITY_BITS, WIDE_BITS, WIDE_FROM = 1 << 10, 1 << 14, 1500
 SHARD_BYTES, LEAST_SHARDS, HELD = 24 << 20, 64, 2 << 20
 
 
@@ -90,12 +91,12 @@ def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-def ordered(s: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """A sorted set in the corpus's order: rare shingles by hash, then common ones by hash."""
+def ordered(s: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
+    """A sorted set in the corpus's order, rare shingles by hash, then common ones by hash; and how many counted ones are rare."""
     place = (s >> np.uint64(16)) % np.uint64(COMMON_BITS)
     low = s < np.uint64(int(COUNTED * 2**48) << 16)
     is_common = ((common[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool) & low
-    return np.concatenate([s[~is_common], s[is_common]])
+    return np.concatenate([s[~is_common], s[is_common]]), int((low & ~is_common).sum())
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -103,9 +104,9 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """Whether each of PARITY_BITS buckets of hashes holds an odd number of a set's: differing bits are so many differences at least."""
-    return np.packbits(np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS).astype(np.uint8) & 1).view(np.int64)
+def parity(s: np.ndarray, bits: int) -> np.ndarray:
+    """Whether each of `bits` buckets of hashes holds an odd number of a set's: differing bits are so many differences at least."""
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).view(np.int64)
 
 
 def may_link(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -113,25 +114,28 @@ def may_link(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
     Two sets have the similarity p / 100 just if (100 + p) times their differences are at most (100 - p) times their sizes.
     """
-    of = lambda name: sketches.select(F.col("cid").alias(name), F.col("n").alias(f"n_{name}"), F.col("parity").alias(f"p_{name}"))
-    apart = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, m: n + m)
+    of = lambda name: sketches.select(F.col("cid").alias(name), F.col("n").alias(f"n_{name}"), F.col("parity").alias(f"p_{name}"), F.col("wide").alias(f"w_{name}"))
+    bits = lambda c: F.aggregate(F.zip_with(f"{c}_a", f"{c}_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, m: n + m)
+    apart = F.when((F.size("w_a") > 0) & (F.size("w_b") > 0), bits("w")).otherwise(bits("p"))
     apart = F.greatest(apart, F.abs(F.col("n_a") - F.col("n_b")))
     return pairs.join(of("a"), "a").join(of("b"), "b").filter((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
 
 
-SIGNATURE = "doc_id long, n long, k1 long, k2 long, g1 long, g2 long, parity array<long>, prefix array<long>"
+SIGNATURE = "doc_id long, n long, k1 long, k2 long, g1 long, g2 long, rare long, parity array<long>, wide array<long>, prefix array<long>"
 
 
 def _sign(size: int, percent: int, common) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    kinds = [pa.int64()] * 6 + [pa.list_(pa.int64())] * 2
+    kinds = [pa.int64()] * 7 + [pa.list_(pa.int64())] * 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
                 s = shingle_set(text, size)
-                first = ordered(s, common.value)[: prefix_length(len(s), percent)] if len(s) else s
-                out.append((doc_id, len(s), *set_key(s), *set_key(first), parity(s), first.view(np.int64)))
+                first, rare = ordered(s, common.value)
+                first = first[: prefix_length(len(s), percent)] if len(s) else s
+                wide = parity(s, WIDE_BITS) if len(s) > WIDE_FROM else s[:0].view(np.int64)
+                out.append((doc_id, len(s), *set_key(s), *set_key(first), rare, parity(s, PARITY_BITS), wide, first.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [f.split()[0] for f in SIGNATURE.split(", ")])
 
     return run
@@ -182,21 +186,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     members = signed.filter("n > 0 and doc_id is not null")
     classes = members.groupBy("k1", "k2").agg(F.min("doc_id").alias("cid"))
     # A class's row is its least doc_id's; of repeated rows any will do, as they are equal.
-    reps = saved(members.join(classes, ["k1", "k2"]).filter("doc_id = cid").select("cid", "n", "g1", "g2", "parity").distinct(), "classes")
-    groups = reps.groupBy("g1", "g2", "n").agg(F.min("cid").alias("gid"))
-    grouped = saved(reps.join(groups, ["g1", "g2", "n"]).select("cid", "gid", "n"), "groups")
-    heads = grouped.filter("cid = gid").select("gid").distinct()
+    reps = members.join(classes, ["k1", "k2"]).filter("doc_id = cid").select("cid", "n", "g1", "g2", "rare", "parity", "wide").distinct()
+    reps = saved(reps, "classes")
+    # A group's id puts the groups with the fewest rare shingles first: a list's least group is the text that the most
+    # others of the list are copies of.
+    groups = reps.groupBy("g1", "g2", "n").agg(F.min("cid").alias("head"), F.min("rare").alias("rare"))
+    place = F.shiftleft(F.least(F.col("rare"), F.lit(0xFFFF)), 47).bitwiseOR(F.shiftrightunsigned(F.xxhash64("head", "n"), 17))
+    grouped = saved(reps.join(groups.select("g1", "g2", "n", "head", place.alias("gid")), ["g1", "g2", "n"]).select("cid", "gid", "head", "n"), "groups")
+    heads = grouped.filter("cid = head").select("gid", "head", "n").distinct()
 
     # Repeated rows of a head would list it twice; distinct pairs below make up for it.
-    listed = members.select("doc_id", "prefix").join(heads, F.col("doc_id") == F.col("gid")).select("gid", F.explode("prefix").alias("s"))
+    listed = members.join(heads.select("gid", F.col("head").alias("doc_id"), "n"), ["doc_id", "n"]).select("gid", F.posexplode("prefix").alias("pos", "s"))
     lists = listed.groupBy("s").agg(F.min("gid").alias("pivot"), F.max("gid").alias("last")).filter("pivot < last").select("s", "pivot")
     shared = saved(listed.join(lists, "s"), "lists")
     star = saved(shared.filter("gid <> pivot").select("gid", "pivot").distinct(), "stars")
-    of = lambda name: grouped.filter("cid = gid").select(F.col("gid").alias(name), F.col("n").alias(f"n_{name}")).distinct()
+    of = lambda name: heads.select(F.col("gid").alias(name), F.col("head").alias(f"head_{name}"), F.col("n").alias(f"n_{name}"))
     fits = f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"
     sized = star.select(F.col("gid").alias("x"), F.col("pivot").alias("y")).join(of("x"), "x").join(of("y"), "y").filter(fits)
-    met = sized.join(grouped.select("cid", F.col("gid").alias("x")), "x").select(F.col("cid").alias("a"), F.col("y").alias("b"))
-    within = grouped.filter("cid <> gid").select(F.col("cid").alias("a"), F.col("gid").alias("b"))
+    met = sized.join(grouped.select("cid", F.col("gid").alias("x")), "x").select(F.col("cid").alias("a"), F.col("head_y").alias("b"))
+    within = grouped.filter("cid <> head").select(F.col("cid").alias("a"), F.col("head").alias("b"))
     links = verified(saved(may_link(met.union(within), reps, percent), "met"), docs, size, percent)
     labels = connected_components(links)
 
@@ -209,9 +217,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     right = spans.select(F.col("gid").alias("y"), F.col("low").alias("low_y"), F.col("high").alias("high_y"), F.col("n").alias("n_y"))
     apart = "not (low_x = high_x and low_y = high_y and low_x = low_y)"
     outside = saved(star.select(F.col("gid").alias("x"), F.col("pivot").alias("y")).join(left, "x").join(right, "y").filter(apart).select("x", F.col("y").alias("pivot")), "outside")
-    rows = shared.join(outside, (F.col("gid") == F.col("x")) & (shared["pivot"] == outside["pivot"])).select("s", "x").join(left, "x")
-    others = shared.select("s", F.col("gid").alias("y")).join(rows.select("s").distinct(), "s", "left_semi").join(right, "y")
-    cross = rows.join(others, "s").filter(f"x <> y and {apart} and {fits}").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    rows = shared.join(outside, (F.col("gid") == F.col("x")) & (shared["pivot"] == outside["pivot"])).select("s", "x", F.col("pos").alias("pos_x")).join(left, "x")
+    others = shared.select("s", F.col("gid").alias("y"), F.col("pos").alias("pos_y")).join(rows.select("s").distinct(), "s", "left_semi").join(right, "y")
+    # Where a pair's first shared shingle stands, enough must be left of both for the similarity.
+    enough = f"{100 + percent} * least(n_x - pos_x, n_y - pos_y) >= {percent} * (n_x + n_y)"
+    cross = rows.join(others, "s").filter(f"x <> y and {apart} and {fits} and {enough}").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     torn = spans.filter("low < high").select(F.col("gid").alias("x"), F.col("gid").alias("y"))
     each = lambda end, name: now.select(F.col("gid").alias(end), F.col("cid").alias(name), F.col("component").alias(f"of_{name}"))
     more = cross.union(torn).join(each("x", "a"), "x").join(each("y", "b"), "y").filter("of_a <> of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

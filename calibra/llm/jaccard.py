@@ -4,9 +4,13 @@ Shingles have one order for the whole corpus: those that many documents share co
 shingle in common among the first of each, their prefixes. Equal sets are one class; classes with the same prefix
 and size are one group, and only groups are listed under their shingles.
 
-A list of many groups is not all compared. First every group meets the least of its list; what links is joined into
-components; and only where a list still holds several components are those outside the first compared with the list.
-So near copies, however many, cost a comparison each, and no link is lost.
+A list of many groups is not all compared. First every group meets the least of its list, the pivot; what links is
+joined into components; and only where a list still holds several components are those outside the first compared with
+the list. So near copies, however many, cost a comparison each, and no link is lost.
+
+Where very many share a pivot, those outside are not compared with the whole list either: each member is replaced by its
+differences from the pivot, and the differences are joined by their own prefixes. Two members differ by the differences
+that they do not share, so one outside must share many with whatever it links with.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ COMMON_DF, COMMON_BITS = 32, 1 << 25
 COUNTED = 0.36
 #: Bits of every set's parities, and more for sets over so many shingles.
 PARITY_BITS, WIDE_BITS, WIDE_FROM = 1 << 10, 1 << 14, 1500
+#: With more members, a pivot's are compared by their differences from it.
+DENSE, LATE = 200, 1000
 SHARD_BYTES, LEAST_SHARDS, HELD = 24 << 20, 64, 2 << 20
 
 
@@ -141,6 +147,64 @@ def _sign(size: int, percent: int, common) -> Callable[[Iterator[pa.RecordBatch]
     return run
 
 
+def differences(s: np.ndarray, p: np.ndarray, outside: bool, percent: int, common: np.ndarray, late: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many shingles two sets differ by, and the first of these: s's own in the corpus's order, p's by hash, `late` ones.
+
+    A link (s, t) allows d = (100 - percent) / (100 + percent) * (|s| + |t|) differences, so s and t must have at least
+    (|s ^ p| + |t ^ p| - d) / 2 of their differences from p in common. The prefix is what can hold the first common one,
+    for every size that t may have; if s is not outside, t is, and so differs from p by more than a link allows.
+    """
+    own, lost = ordered(np.setdiff1d(s, p, assume_unique=True), common)[0], np.setdiff1d(p, s, assume_unique=True)
+    n, whole = len(own) + len(lost), np.concatenate([own, lost])
+    last = np.isin(whole, late)
+    most = len(s) * (100 - percent) / percent
+    length = most
+    if not outside:
+        least = (100 - percent) / (100 + percent) * (len(s) * percent / 100 + len(p))
+        length = min(most, max(0, n + most - least) / 2)
+    return n, np.concatenate([whole[~last], np.sort(whole[last])])[: int(length + 1e-6) + 1]
+
+
+def _differ(size: int, percent: int, common) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[str, np.ndarray] = ("", shingle_set("", size))
+        for whole in batches:
+            for batch in small_batches([whole], "text", 2 << 20):
+                out = []
+                for text, other, outside, late in zip(texts(batch), texts(batch, "pivot_text"), batch.column("outside").to_pylist(), batch.column("late").to_pylist(), strict=True):
+                    if held[0] != other:
+                        held = other, shingle_set(other, size)
+                    n, first = differences(shingle_set(text, size), held[1], outside, percent, common.value, np.array(late or [], np.int64).view(np.uint64))
+                    out.append((n, first.view(np.int64)))
+                more = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.list_(pa.int64())), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("pivot", "cid", "component", "n", "outside")), *more], ["pivot", "cid", "component", "n", "outside", "apart", "first"])
+
+    return run
+
+
+def pairs_by_differences(members: DataFrame, docs: DataFrame, size: int, percent: int, common) -> DataFrame:
+    """Pairs(a, b) of members(pivot, head, cid, component, n, outside) that may link, one of them outside its pivot's component."""
+    ids = members.select("cid").union(members.select("head")).distinct().withColumnRenamed("cid", "doc_id")
+    some = saved(docs.select("doc_id", "text").join(ids, "doc_id"), "member-texts")
+    whole = members.join(some.select(F.col("doc_id").alias("cid"), "text"), "cid").join(some.select(F.col("doc_id").alias("head"), F.col("text").alias("pivot_text")), "head")
+    schema = "pivot long, cid long, component long, n long, outside boolean, apart long, first array<long>"
+    differ = lambda late: whole.join(late, "pivot", "left").select("pivot", "cid", "component", "n", "outside", "text", "pivot_text", "late").mapInArrow(_differ(size, percent, common), schema)
+    # A difference that many of a pivot's members have, as where the pivot is itself an edited copy, comes last.
+    # This orders differences and decides no link, so the most frequent LATE of them do.
+    sizes = members.groupBy("pivot").agg(F.count("*").alias("size"))
+    counts = differ(sizes.select("pivot", F.array().cast("array<long>").alias("late"))).select("pivot", F.explode("first").alias("s")).groupBy("pivot", "s").agg(F.count("*").alias("held"))
+    many = saved(counts.join(sizes, "pivot").filter("held * 16 > size").select("pivot", "held", "s"), "frequent")
+    late = many.groupBy("pivot").agg(F.slice(F.sort_array(F.collect_list(F.struct("held", "s")), False), 1, LATE)["s"].alias("late"))
+    found = saved(differ(late), "differences")
+    listed = found.select(*found.columns[:-1], F.posexplode("first").alias("pos", "s"))
+    side = lambda e: listed.select("pivot", "s", *[F.col(c).alias(f"{c}_{e}") for c in ("cid", "component", "n", "outside", "apart", "pos")])
+    left = side("a").filter("outside_a")
+    enough = f"{100 + percent} * (apart_a + apart_b - 2 * least(apart_a - pos_a, apart_b - pos_b)) <= {100 - percent} * (n_a + n_b)"
+    fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    pairs = left.join(side("b"), ["pivot", "s"]).filter(f"component_a <> component_b and {fits} and {enough}")
+    return pairs.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
+
+
 def _verify(size: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[str, np.ndarray] = {}
@@ -213,19 +277,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     now = saved(now, "components")
     spans = now.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("n"))
     spans = saved(spans, "spans")
+    member = star.join(grouped.select("cid", "gid"), "gid").select("pivot", "cid").union(grouped.filter("cid <> head").select(F.col("gid").alias("pivot"), "cid"))
+    dense = saved(member.groupBy("pivot").count().filter(F.col("count") > DENSE).select("pivot"), "dense")
+    at = now.select("cid", "component", "n")
+    led = heads.select(F.col("gid").alias("pivot"), "head").join(dense, "pivot").join(now.select(F.col("cid").alias("head"), F.col("component").alias("led")), "head")
+    crowd = saved(member.join(led, "pivot").join(at, "cid").select("pivot", "head", "cid", "component", "n", (F.col("component") != F.col("led")).alias("outside")), "crowd")
+    crowd = crowd.join(crowd.filter("outside").select("pivot").distinct(), "pivot", "left_semi")
+    by_difference = pairs_by_differences(crowd, docs, size, percent, common)
+
+    # Lists of fewer members are compared as they are.
     left = spans.select(F.col("gid").alias("x"), F.col("low").alias("low_x"), F.col("high").alias("high_x"), F.col("n").alias("n_x"))
     right = spans.select(F.col("gid").alias("y"), F.col("low").alias("low_y"), F.col("high").alias("high_y"), F.col("n").alias("n_y"))
     apart = "not (low_x = high_x and low_y = high_y and low_x = low_y)"
-    outside = saved(star.select(F.col("gid").alias("x"), F.col("pivot").alias("y")).join(left, "x").join(right, "y").filter(apart).select("x", F.col("y").alias("pivot")), "outside")
+    outside = saved(star.join(dense, "pivot", "left_anti").select(F.col("gid").alias("x"), F.col("pivot").alias("y")).join(left, "x").join(right, "y").filter(apart).select("x", F.col("y").alias("pivot")), "outside")
     rows = shared.join(outside, (F.col("gid") == F.col("x")) & (shared["pivot"] == outside["pivot"])).select("s", "x", F.col("pos").alias("pos_x")).join(left, "x")
     others = shared.select("s", F.col("gid").alias("y"), F.col("pos").alias("pos_y")).join(rows.select("s").distinct(), "s", "left_semi").join(right, "y")
     # Where a pair's first shared shingle stands, enough must be left of both for the similarity.
     enough = f"{100 + percent} * least(n_x - pos_x, n_y - pos_y) >= {percent} * (n_x + n_y)"
     cross = rows.join(others, "s").filter(f"x <> y and {apart} and {fits} and {enough}").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    torn = spans.filter("low < high").select(F.col("gid").alias("x"), F.col("gid").alias("y"))
+    torn = spans.filter("low < high").join(dense.withColumnRenamed("pivot", "gid"), "gid", "left_anti").select(F.col("gid").alias("x"), F.col("gid").alias("y"))
     each = lambda end, name: now.select(F.col("gid").alias(end), F.col("cid").alias(name), F.col("component").alias(f"of_{name}"))
     more = cross.union(torn).join(each("x", "a"), "x").join(each("y", "b"), "y").filter("of_a <> of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = saved(may_link(more.distinct(), reps, percent).join(links, ["a", "b"], "left_anti"), "more")
+    more = saved(may_link(more.union(by_difference).distinct(), reps, percent).join(links, ["a", "b"], "left_anti"), "more")
     final = connected_components(links.union(verified(more, docs, size, percent)))
     out = signed.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left").join(final.withColumnRenamed("id", "cid"), "cid", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "cid")).otherwise(F.col("doc_id"))

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from calibra.llm import jaccard
@@ -36,9 +37,10 @@ def test_prefix_length():
     assert [prefix_length(n, 85) for n in (1, 6, 7, 20, 100)] == [1, 1, 2, 4, 16]
 
 
-@pytest.mark.parametrize("common_df", [3, 1000])
-def test_against_all_pairs(spark, monkeypatch, common_df):
+@pytest.mark.parametrize("common_df, dense", [(3, 200), (1000, 200), (3, 0), (1000, 10)])
+def test_against_all_pairs(spark, monkeypatch, common_df, dense):
     monkeypatch.setattr(jaccard, "COMMON_DF", common_df)
+    monkeypatch.setattr(jaccard, "DENSE", dense)
     rnd = random.Random(3)
     vocabulary = [f"w{i}" for i in range(400)]
     passage = [rnd.choice(vocabulary) for _ in range(30)]
@@ -46,7 +48,7 @@ def test_against_all_pairs(spark, monkeypatch, common_df):
     base = [rnd.choice(vocabulary) for _ in range(60)]
     for _ in range(70):  # near copies of one text, many too far apart from each other
         words = list(base)
-        for _ in range(rnd.randint(0, 3)):
+        for _ in range(rnd.randint(0, 4)):
             words[rnd.randrange(len(words))] = rnd.choice(vocabulary)
         rows.append(" ".join(words))
     for _ in range(60):  # a passage that many share
@@ -61,6 +63,26 @@ def test_against_all_pairs(spark, monkeypatch, common_df):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain(table_, 4, 85)
 
 
+def test_differences_keep_every_link():
+    rnd, common = random.Random(5), np.packbits(np.zeros(jaccard.COMMON_BITS, bool), bitorder="little")
+    links = 0
+    for percent in (80, 85):
+        c = (100 - percent) / (100 + percent)
+        for _ in range(60):
+            p = set(rnd.sample(range(1, 400), rnd.randint(30, 60)))
+            edited = [p ^ set(rnd.sample(sorted(p), rnd.randint(0, 6))) ^ set(rnd.sample(range(400, 412), rnd.randint(0, 8))) for _ in range(12)]
+            arrays = [np.array(sorted(v), np.uint64) << np.uint64(20) for v in (p, *edited)]
+            late = np.array(rnd.sample(range(1, 412), 40), np.uint64) << np.uint64(20)
+            far = [len(e ^ p) > c * (len(e) + len(p)) for e in edited]
+            kept = [jaccard.differences(s, arrays[0], o, percent, common, late)[1].tolist() for s, o in zip(arrays[1:], far, strict=True)]
+            for i, x in enumerate(edited):
+                for j, y in enumerate(edited[:i]):
+                    if (far[i] or far[j]) and 100 * len(x & y) >= percent * len(x | y):
+                        links += 1
+                        assert set(kept[i]) & set(kept[j])
+    assert links > 100
+
+
 def test_edges(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(5, "a b c d e f", 1, ""), (5, "a b c d e f", 1, ""), (2, "a b c d e f", 1, ""), (None, "a b c d e f", 1, ""), (None, None, 1, ""), (7, "other words than these ones here", 1, "")]

@@ -32,7 +32,7 @@ ENDED_BY = {"p": BLOCKS - {"html", "body", "head"}, "li": {"li"}, "dt": {"dt", "
 ASIDE_TAGS = frozenset("nav footer aside form menu dialog button label head fieldset".split())
 ASIDE_WORDS = frozenset("ad ads advert adverts advertisement banner cookie cookies consent notice notices menu nav navbar navigation breadcrumb breadcrumbs sidebar widget footer masthead comment comments reply replies respond disqus promo sponsor sponsored related share sharing social newsletter subscribe popup modal login signup search pagination copyright hidden gdpr contentinfo complementary".split())
 MAIN_TAGS, MAIN_WORDS = ("article", "main"), frozenset("article content main post entry story".split())
-#: Paths are told apart down to this depth; deeper text is found under its ancestor there.
+#: Paths are written out down to this depth; deeper ones end in a hash of the rest and its elements that mark something.
 DEPTH = 24
 
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+(?:/>|>.*?(?:</\1\s*>|\Z))|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|</([a-zA-Z][^\s>]*)[^>]*>|<[!?/][^>]*>", re.S | re.I)
@@ -60,13 +60,24 @@ def words_of(sig: str) -> set[str]:
     return {w.lower() for name in sig.split(".")[1:] for w in _NAME.findall(name)}
 
 
+def marks(sig: str) -> bool:
+    """Whether an element says that its text is the article, or is not."""
+    return sig.split(".")[0] in {*MAIN_TAGS, *ASIDE_TAGS, "header"} or bool(words_of(sig) & (ASIDE_WORDS | MAIN_WORDS | {"header"}))
+
+
+def deeper(tail: tuple[str, str, tuple[str, ...]], sig: str) -> tuple[str, str, tuple[str, ...]]:
+    """The written part of a path, a hash of the rest, and the rest's marking elements, one step on."""
+    head, digest, kept = tail
+    return head, xxhash.xxh3_64_hexdigest(f"{digest}/{sig}"), (*kept, sig) if sig not in kept and marks(sig) else kept
+
+
 class Page:
     """A page's blocks of text, each with its path, and its elements' children in order."""
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, str, int]] = []  # path, text, characters in links
         self.children: list[tuple[str, list[str]]] = []
-        stack: list[tuple[str, str, list[str]]] = [("", "", [])]
+        stack: list[tuple] = [("", "", [], None)]  # tag, path, children, and what deeper() made of a path that is not written out
         self.children.append(("", stack[0][2]))
         text: list[str] = []
         links, in_link, at = 0, 0, 0
@@ -96,8 +107,11 @@ class Page:
                     sig = signature(tag, attributes)
                     stack[-1][2].append(sig)
                     if tag not in VOID and not attributes.endswith("/"):
-                        path = f"{stack[-1][1]}/{sig}" if len(stack) <= DEPTH else stack[-1][1]
-                        stack.append((tag, path, []))
+                        path, tail = f"{stack[-1][1]}/{sig}", None
+                        if len(stack) > DEPTH:
+                            tail = deeper(stack[-1][3] or (stack[-1][1], "", ()), sig)
+                            path = "/".join([tail[0], f"~{tail[1]}", *tail[2]])
+                        stack.append((tag, path, [], tail))
                         self.children.append((path, stack[-1][2]))
                 elif tag == "br":
                     text.append(" ")
@@ -229,40 +243,66 @@ def learn_wrappers(pages: DataFrame) -> DataFrame:
     return parts.groupBy("host", "path").applyInArrow(lambda t: _merge_models(t), SLOTS)
 
 
-def main_paths(slots: list[dict]) -> list[str]:
-    """Which text slots of a wrapper are the article."""
-    texts = [s for s in slots if s["chars"] > 0]
+def main_levels(slots: list[dict]) -> list[list[str]]:
+    """Text slots of a wrapper that are the article, best first; a page takes the first level of which it has text.
 
-    def aside(path: str) -> bool:
-        inside = False
-        for sig in path.split("/")[1:]:
+    html and body never mark what is aside. First every other element may; then words in classes count only below an
+    article or main element, or where an element holds less than half of the text.
+    """
+    texts = [s for s in slots if s["chars"] > 0]
+    held: dict[str, int] = {}
+    for s in texts:
+        parts = s["path"].split("/")
+        for i in range(2, len(parts) + 1):
+            held["/".join(parts[:i])] = held.get("/".join(parts[:i]), 0) + s["chars"]
+    half = sum(s["chars"] for s in texts) / 2
+
+    def aside(path: str, strict: bool) -> bool:
+        parts, inside = path.split("/"), False
+        last = max((i for i, x in enumerate(parts) if x.split(".")[0] in MAIN_TAGS), default=0)
+        for i, sig in enumerate(parts[1:], 1):
             tag, words = sig.split(".")[0], words_of(sig)
-            if tag in ASIDE_TAGS or words & ASIDE_WORDS or (tag == "header" or "header" in words) and not inside:
-                return True
+            if tag not in ("html", "body"):
+                judged = strict or (i > last if last else held["/".join(parts[: i + 1])] < half)
+                if tag in ASIDE_TAGS or judged and (words & ASIDE_WORDS or (tag == "header" or "header" in words) and not inside):
+                    return True
             inside = inside or tag in MAIN_TAGS
         return False
 
     def constant(s: dict) -> bool:
         return s["pages"] >= 3 and s["low"] == s["high"]
 
-    rest = [s for s in texts if not aside(s["path"])]
-    for tag in MAIN_TAGS:
-        if found := [s["path"] for s in rest if any(x.split(".")[0] == tag for x in s["path"].split("/"))]:
-            return sorted(found)
-    varied = [s for s in rest if not constant(s)] or rest
-    varied = [s for s in varied if 2 * s["links"] < s["chars"]] or varied
-    if marked := [s for s in varied if any(words_of(x) & MAIN_WORDS for x in s["path"].split("/"))]:
-        return sorted(s["path"] for s in marked)
-    if not varied:
-        return []
-    largest = max(varied, key=lambda s: (s["chars"] - s["links"], s["path"]))
-    region = largest["path"].rpartition("/")[0]
-    return sorted(s["path"] for s in varied if s["path"] == region or s["path"].startswith(f"{region}/"))
+    def within(s: dict, tag: str) -> bool:
+        return any(x.split(".")[0] == tag for x in s["path"].split("/"))
+
+    def region(rest: list[dict]) -> list[str]:
+        varied = [s for s in rest if not constant(s)] or rest
+        varied = [s for s in varied if 2 * s["links"] < s["chars"]] or varied
+        if marked := [s for s in varied if any(words_of(x) & MAIN_WORDS for x in s["path"].split("/"))]:
+            return [s["path"] for s in marked]
+        if not varied:
+            return []
+        largest = max(varied, key=lambda s: (s["chars"] - s["links"], s["path"]))
+        top = largest["path"].rpartition("/")[0]
+        return [s["path"] for s in varied if s["path"] == top or s["path"].startswith(f"{top}/")]
+
+    rests = [[s for s in texts if not aside(s["path"], strict)] for strict in (True, False)]
+    levels = [[s["path"] for s in rest if within(s, tag)] for rest in rests for tag in MAIN_TAGS]
+    outside = [[s for s in rest if not any(within(s, tag) for tag in MAIN_TAGS)] for rest in rests]
+    levels += [region(rest) for rest in outside]
+    # A page of a rarer template has nothing of the largest region.
+    levels += [[s["path"] for s in rest if not constant(s) and 2 * s["links"] < s["chars"]] for rest in outside]
+    return [sorted(x) for x in levels if x]
+
+
+def main_paths(slots: list[dict]) -> list[str]:
+    """Which text slots of a wrapper are the article, on the pages that have them."""
+    return next(iter(main_levels(slots)), [])
 
 
 def _choose(group: pa.Table) -> pa.Table:
     rows = group.to_pylist()
-    return pa.table({"host": pa.array([rows[0]["host"]], pa.string()), "main": pa.array([main_paths(rows)], pa.list_(pa.string()))})
+    return pa.table({"host": pa.array([rows[0]["host"]], pa.string()), "main": pa.array([main_levels(rows)], pa.list_(pa.list_(pa.string())))})
 
 
 def _extract(columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -270,8 +310,10 @@ def _extract(columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterato
         for batch in small_batches(batches, "html"):
             out = []
             for source, main in zip(batch.column("html").to_pylist(), batch.column("main").to_pylist(), strict=True):
-                chosen = set(main or ())
-                out.append("\n".join(text for path, text, _ in Page(source or "").blocks if path in chosen))
+                blocks = Page(source or "").blocks
+                found = {path for path, _, _ in blocks}
+                chosen = next((c for c in map(set, main or ()) if c & found), set())
+                out.append("\n".join(text for path, text, _ in blocks if path in chosen))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], [*columns, "text", "n_chars"])
 
     return run
@@ -285,7 +327,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
-    wrappers = learn_wrappers(rows).groupBy("host").applyInArrow(lambda t: _choose(t), "host string, main array<string>")
+    wrappers = learn_wrappers(rows).groupBy("host").applyInArrow(lambda t: _choose(t), "host string, main array<array<string>>")
     # Spark broadcasts the wrappers if their files are small, and else splits a host with very many pages.
     joined = rows.join(saved(wrappers, "wrappers"), "host", "left")
     return joined.mapInArrow(_extract(["page_id", "url"]), "page_id long, url string, text string, n_chars long")

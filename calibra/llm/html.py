@@ -272,6 +272,12 @@ def main_levels(slots: list[dict]) -> list[list[str]]:
     def constant(s: dict) -> bool:
         return s["pages"] >= 3 and s["low"] == s["high"]
 
+    pages = next((s["pages"] for s in slots if s["path"] == ""), 0)
+
+    def filled(rest: list[dict]) -> list[dict]:
+        """Those slots that are not the same on every page of the host; all, if the pages are copies of one."""
+        return [s for s in rest if not (pages >= 3 and s["pages"] >= pages and s["low"] == s["high"])] or rest
+
     def within(s: dict, tag: str) -> bool:
         return any(x.split(".")[0] == tag for x in s["path"].split("/"))
 
@@ -287,7 +293,7 @@ def main_levels(slots: list[dict]) -> list[list[str]]:
         return [s["path"] for s in varied if s["path"] == top or s["path"].startswith(f"{top}/")]
 
     rests = [[s for s in texts if not aside(s["path"], strict)] for strict in (True, False)]
-    levels = [[s["path"] for s in rest if within(s, tag)] for rest in rests for tag in MAIN_TAGS]
+    levels = [[s["path"] for s in filled([s for s in rest if within(s, tag)])] for rest in rests for tag in MAIN_TAGS]
     outside = [[s for s in rest if not any(within(s, tag) for tag in MAIN_TAGS)] for rest in rests]
     levels += [region(rest) for rest in outside]
     # A page of a rarer template has nothing of the largest region.

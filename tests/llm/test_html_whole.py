@@ -31,3 +31,9 @@ def test_templates_of_one_host(spark):
     plain = "<body><div class='top-menu'>Home</div><div class='c'><p>{}</p></div></body>"
     bodies = ["<body><article><p>{}</p></article></body>", "<body><main><p>{}</p></main></body>", plain, plain]
     assert texts(spark, [b.format(x) for b, x in zip(bodies, STORIES, strict=True)]) == STORIES
+
+
+def test_same_slot_on_every_page_of_an_article(spark):
+    body = "<body><article><div class='x1'>Read us daily</div><p>{}</p><div class='x2'>{}</div></article></body>"
+    assert texts(spark, [body.format(x, i % 2) for i, x in enumerate(STORIES)]) == [f"{x}\n{i % 2}" for i, x in enumerate(STORIES)]
+    assert texts(spark, ["<body><article><p>One</p></article></body>"] * 4) == ["One"] * 4

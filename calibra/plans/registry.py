@@ -334,7 +334,10 @@ def sessionize(spark, sf):
   n AS (SELECT id, ts, coalesce(root, session) AS k FROM s LEFT JOIN c ON c.s = s.session), o AS (SELECT k, row_number() OVER (ORDER BY min(ts), k) AS session FROM n GROUP BY k)
   SELECT id, o.session::BIGINT AS session FROM n JOIN o USING (k)""")
 def session_merge(spark, sf):
-    return T.merge_sessions(T.sessionize(_events(spark, sf)), _hashes(spark, sf)[1]).select("id", "session")
+    members, pairs, _ = _hashes(spark, sf)
+    # Pairs are between the first ids of distinct hashes; copies are linked with theirs.
+    copies = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    return T.merge_sessions(T.sessionize(_events(spark, sf)), pairs.select("a", "b").unionByName(copies)).select("id", "session")
 
 
 _KINDS = ["click", "purchase", "view"]

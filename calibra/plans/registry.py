@@ -400,6 +400,18 @@ def config_diff(spark, sf):
     return out.groupBy(name.alias("path"), "one", "other", (name == "type").alias("allowed")).agg(F.count("*").alias("n"))
 
 
+# config_diff() reads 400 events; this pairs every event with the next by id, whatever the size.
+@query("""WITH f AS (SELECT event_id // 2 AS k, event_id % 2 AS side, path, value FROM (SELECT event_id, 'props.' || k AS path, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) UNION ALL SELECT event_id, 'type', event_type FROM events)),
+  p AS (SELECT path, a.value AS one, b.value AS other FROM (SELECT * FROM f WHERE side = 0) a FULL JOIN (SELECT * FROM f WHERE side = 1) b USING (k, path)) SELECT path, one, other, count(*)::BIGINT AS n, (path = 'type') AS allowed FROM p WHERE one IS DISTINCT FROM other GROUP BY ALL""")
+def config_diff_all(spark, sf):
+    rows = spark.read.parquet(f"{sf}/events.parquet")
+    flat = R.flatten(rows.select(F.col("event_id").alias("run"), F.concat(F.lit('{"type": "'), "event_type", F.lit('", "props": '), "props", F.lit("}")).alias("config")))
+    flat = flat.withColumn("path", F.concat_ws("#", F.floor(F.col("run") / 2).cast("string"), "path"))
+    out = R.config_diff(flat.filter("run % 2 = 0"), flat.filter("run % 2 = 1"), [], [])
+    name = F.substring_index("path", "#", -1)
+    return out.groupBy(name.alias("path"), "one", "other", (name == "type").alias("allowed")).agg(F.count("*").alias("n"))
+
+
 _MEASURES = with_(m=fx.MEASURES)
 _PAIRS = "coalesce(sum(CASE WHEN p.value > q.value THEN 1 WHEN p.value = q.value THEN 0.5 ELSE 0 END) / nullif(count(*), 0), 'nan'::DOUBLE)"
 

@@ -37,3 +37,17 @@ def test_sessions_of_equal_hashes_merge(spark, copies):
     assert got == want
     session = dict(got)
     assert session[0] == session[3] == session[8] and session[1] == session[4] == session[5] == session[7] and len(set(session.values())) == 4
+
+
+def test_all_configs_are_compared(spark, tmp_path):
+    events = [(i, datetime.datetime(2020, 1, 1), "view" if i % 3 else "click", '{"k": %d, "j": 1}' % i) for i in range(600)]
+    events.append((600, datetime.datetime(2020, 1, 1), "view", '{"k": 7}'))
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(0, [1.0], 1)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    order = lambda rows: sorted(rows, key=repr)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = con.execute(f"SELECT allowed, n, one, other, path FROM ({ORACLE_SQL['config_diff_all']})").fetchall()
+    got = [(r.allowed, r.n, r.one, r.other, r.path) for r in QUERIES["config_diff_all"](spark, str(tmp_path)).collect()]
+    assert order(got) == order(want)
+    assert sum(n for _, n, *_, path in got if path == "props.k") == 301

@@ -21,7 +21,7 @@ def _class_frame(spark: SparkSession, boxes: DataFrame) -> DataFrame:
 
 
 def manifest(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
-    """Every image of an export with its moment, box counts and reason for exclusion."""
+    """Every image of an export with its moment, box counts and reason for exclusion; hashes, session and split are blank."""
     images, boxes = D.read_coco(spark, args.export)
     counts = boxes.groupBy("image").agg(F.collect_list("cls").alias("c"))
     rows = images.join(counts, "image", "left").join(M.label_conflicts(boxes), "image", "left").withColumn("at", S.captured_at(F.col("image")))
@@ -30,7 +30,10 @@ def manifest(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
         F.col("image").alias("file"), F.col("split").alias("published_split"), "width", "height", F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss").alias("captured_at"),
         F.when(n > 0, S.format_counts(S.box_counts(F.col("c")))).otherwise("").alias("boxes"), S.exclusion(F.col("image"), F.col("at"), F.greatest(n, F.lit(0)), F.col("pairs") > 0).alias("exclusion"), "ord",
     )
-    D.write_csv(out.orderBy("ord").drop("ord"), args.out)
+    # A manifest is read by position, so it has every column of one.
+    fields = [f.split() for f in D.MANIFEST.split(", ")]
+    whole = [F.col(name) if name in out.columns else F.lit(None).cast(kind).alias(name) for name, kind in fields]
+    D.write_csv(out.orderBy("ord").select(*whole), args.out)
     return out.groupBy("exclusion").agg(F.count("*").alias("images")).orderBy("exclusion")
 
 
@@ -54,6 +57,8 @@ def prepare(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     lost = D.missing_from(images, known, "image").count()
     if lost:
         raise KeyError(f"{lost} images of the export are not in the manifest")
+    if known.filter("to is not null").isEmpty():
+        raise ValueError("the manifest gives no image a split")
     kept = images.join(known.filter(F.col("to").isin("train", "val", "test")), "image").drop("split").withColumnRenamed("to", "split")
     classes = [r["cls"] for r in boxes.select("cls").distinct().orderBy("cls").collect()]
     D.write_coco(kept, boxes.drop("split").join(kept.select("image", "split"), "image"), classes, args.out)

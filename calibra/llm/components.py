@@ -5,23 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibra.llm.common import saved
+from calibra.llm.common import forget, saved
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """id and component, the least id reachable, of every id in edges(a, b).
+    """id and component, the least id reachable, of every id in edges(a, b); a saved table.
 
     Each round gives an id the least label of its neighbours and then its label's own label, until nothing changes.
     Labels are summed to a minimum before they are dealt, so an id with very many neighbours is one row for a task.
     """
     both = saved(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "edges")
-    labels = saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
+    labels = saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "labels")
     while True:
-        heard = both.join(labels.select(F.col("id").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("id")).agg(F.min("l").alias("l"))
-        near = labels.join(heard, "id").select("id", "label", F.least("label", "l").alias("new"))
-        own = labels.select(F.col("id").alias("new"), F.col("label").alias("of"))
-        step = saved(near.join(own, "new", "left").select("id", F.least("new", F.coalesce("of", "new")).alias("label"), (F.least("new", F.coalesce("of", "new")) < F.col("label")).alias("changed")), "labels")
+        heard = both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("l")), "b").groupBy(F.col("a").alias("id")).agg(F.min("l").alias("l"))
+        near = labels.join(heard, "id").select("id", "component", F.least("component", "l").alias("new"))
+        own = labels.select(F.col("id").alias("new"), F.col("component").alias("of"))
+        least = F.least("new", F.coalesce("of", "new"))
+        step = saved(near.join(own, "new", "left").select("id", least.alias("component"), (least < F.col("component")).alias("changed")), "labels")
+        forget(labels)
         changed = step.filter("changed").limit(1).count()
         labels = step.drop("changed")
+        labels.saved_at = step.saved_at
         if not changed:
-            return labels.withColumnRenamed("label", "component")
+            forget(both)
+            return labels
+
+
+def joined_components(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """The components of labels(id, component) after the links more(a, b): only the components that these meet are labelled again."""
+    of = lambda end: labels.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}"))
+    met = more.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    bridges = connected_components(met.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
+    ends = more.select(F.col("a").alias("id")).union(more.select("b")).distinct()
+    known = labels.select("id", "component").union(ends.join(labels, "id", "left_anti").select("id", F.col("id").alias("component")))
+    whole = known.join(bridges.select(F.col("id").alias("component"), F.col("component").alias("least")), "component", "left")
+    out = saved(whole.select("id", F.coalesce("least", "component").alias("component")), "labels")
+    forget(bridges)
+    return out

@@ -4,9 +4,10 @@ Shingles have one order for the whole corpus: those that many documents share co
 shingle in common among the first of each, their prefixes. Equal sets are one class; classes with the same prefix
 and size are one group, and only groups are listed under their shingles.
 
-A list of many groups is not all compared. First every group meets the least of its list, the pivot; what links is
-joined into components; and only where a list still holds several components are those outside the first compared with
-the list. So near copies, however many, cost a comparison each, and no link is lost.
+A list of many groups is not all compared. Each has a pivot, its least group. First every group meets the least pivot of
+all its lists; what links is joined into components. In lists that still hold several components, groups meet the list's
+pivot; and where several are left even so, those outside the pivot's are compared with the list. So near copies, however
+many, cost a comparison each, and no link is lost.
 
 Where very many share a pivot, those outside are not compared with the whole list either: each member is replaced by its
 differences from the pivot, and the differences are joined by their own prefixes. Two members differ by the differences
@@ -22,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm.common import saved, small_batches, table, text_bytes, texts
-from calibra.llm.components import connected_components
-from calibra.llm.shingles import set_key, shingle_set
+from calibra.llm.common import forget, saved, small_batches, table, text_bytes, texts
+from calibra.llm.components import connected_components, joined_components
+from calibra.llm.shingles import set_key, shingle_set, shingle_sets
 
 #: A shingle in so many documents is common; at most COMMON_BITS / 8 shingles, the most frequent, count as common.
 COMMON_DF, COMMON_BITS = 32, 1 << 25
@@ -51,9 +52,9 @@ def _tally(size: int, shards: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
             rows = [(k, raw[a:b].tobytes(), counts[a:b].tobytes()) for k, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "hashes", "n"])
 
-        for batch in small_batches(batches, "text"):
-            for text in texts(batch):
-                h = shingle_set(text, size) >> np.uint64(16)
+        for batch in small_batches(batches, "text", 1 << 20):
+            for s in shingle_sets(texts(batch), size):
+                h = s >> np.uint64(16)
                 held.append(h[h < np.uint64(int(COUNTED * 2**48))])
                 n += len(held[-1])
             if n > HELD:
@@ -134,10 +135,9 @@ def _sign(size: int, percent: int, common) -> Callable[[Iterator[pa.RecordBatch]
     kinds = [pa.int64()] * 7 + [pa.list_(pa.int64())] * 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", 1 << 20):
             out = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-                s = shingle_set(text, size)
+            for doc_id, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(texts(batch), size), strict=True):
                 first, rare = ordered(s, common.value)
                 first = first[: prefix_length(len(s), percent)] if len(s) else s
                 wide = parity(s, WIDE_BITS) if len(s) > WIDE_FROM else s[:0].view(np.int64)
@@ -182,11 +182,9 @@ def _differ(size: int, percent: int, common) -> Callable[[Iterator[pa.RecordBatc
     return run
 
 
-def pairs_by_differences(members: DataFrame, docs: DataFrame, size: int, percent: int, common) -> DataFrame:
-    """Pairs(a, b) of members(pivot, head, cid, component, n, outside) that may link, one of them outside its pivot's component."""
-    ids = members.select("cid").union(members.select("head")).distinct().withColumnRenamed("cid", "doc_id")
-    some = saved(docs.select("doc_id", "text").join(ids, "doc_id"), "member-texts")
-    whole = members.join(some.select(F.col("doc_id").alias("cid"), "text"), "cid").join(some.select(F.col("doc_id").alias("head"), F.col("text").alias("pivot_text")), "head")
+def pairs_by_differences(members: DataFrame, known: DataFrame, size: int, percent: int, common) -> DataFrame:
+    """Pairs(a, b) of members(pivot, head, cid, component, n, outside) that may link, one of them outside its pivot's component. known has their texts."""
+    whole = members.join(known.select(F.col("doc_id").alias("cid"), "text"), "cid").join(known.select(F.col("doc_id").alias("head"), F.col("text").alias("pivot_text")), "head")
     schema = "pivot long, cid long, component long, n long, outside boolean, apart long, first array<long>"
     differ = lambda late: whole.join(late, "pivot", "left").select("pivot", "cid", "component", "n", "outside", "text", "pivot_text", "late").mapInArrow(_differ(size, percent, common), schema)
     # A difference that many of a pivot's members have, as where the pivot is itself an edited copy, comes last.
@@ -228,11 +226,9 @@ def _verify(size: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of pairs(a, b) whose texts link."""
-    ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    some = saved(docs.select("doc_id", "text").join(ids, "doc_id"), "jaccard-texts")
-    joined = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+def verified(pairs: DataFrame, known: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of pairs(a, b) whose texts, in known(doc_id, text), link."""
+    joined = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(known.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return saved(joined.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, percent), "a long, b long").distinct(), "links")
 
 
@@ -263,43 +259,65 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     listed = members.join(heads.select("gid", F.col("head").alias("doc_id"), "n"), ["doc_id", "n"]).select("gid", F.posexplode("prefix").alias("pos", "s"))
     lists = listed.groupBy("s").agg(F.min("gid").alias("pivot"), F.max("gid").alias("last")).filter("pivot < last").select("s", "pivot")
     shared = saved(listed.join(lists, "s"), "lists")
-    star = saved(shared.filter("gid <> pivot").select("gid", "pivot").distinct(), "stars")
+    # Texts of all classes that a list or a group of several holds, once.
+    several = shared.select("gid").union(grouped.filter("cid <> head").select("gid")).distinct()
+    ids = grouped.join(several, "gid", "left_semi").select(F.col("cid").alias("doc_id")).distinct()
+    known = saved(docs.join(ids, "doc_id", "left_semi").distinct(), "class-texts")
     of = lambda name: heads.select(F.col("gid").alias(name), F.col("head").alias(f"head_{name}"), F.col("n").alias(f"n_{name}"))
     fits = f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"
-    sized = star.select(F.col("gid").alias("x"), F.col("pivot").alias("y")).join(of("x"), "x").join(of("y"), "y").filter(fits)
-    met = sized.join(grouped.select("cid", F.col("gid").alias("x")), "x").select(F.col("cid").alias("a"), F.col("head_y").alias("b"))
+
+    def meetings(star: DataFrame) -> DataFrame:
+        """Classes of groups x and heads of groups y of star(x, y), as a and b."""
+        sized = star.join(of("x"), "x").join(of("y"), "y").filter(fits)
+        return sized.join(grouped.select("cid", F.col("gid").alias("x")), "x").select(F.col("cid").alias("a"), F.col("head_y").alias("b"))
+
+    def spans_of(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Each class's component so far; and the least and greatest of each group."""
+        now = saved(grouped.join(labels, F.col("cid") == F.col("id"), "left").select("cid", "gid", "n", F.coalesce("component", "cid").alias("component")), "components")
+        return now, saved(now.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("n")), "spans")
+
+    def open_lists(spans: DataFrame) -> DataFrame:
+        """The rows of lists that hold several components, each with its group's and its pivot's span."""
+        rows = shared.join(spans.select("gid", "low", "high"), "gid")
+        ends = rows.groupBy("s").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.min(F.struct("gid", "low", "high")).alias("p"))
+        ends = ends.filter("least < most").select("s", F.col("p.low").alias("low_p"), F.col("p.high").alias("high_p"))
+        return rows.join(ends, "s")
+
+    first = shared.filter("gid <> pivot").groupBy(F.col("gid").alias("x")).agg(F.min("pivot").alias("y"))
     within = grouped.filter("cid <> head").select(F.col("cid").alias("a"), F.col("head").alias("b"))
-    links = verified(saved(may_link(met.union(within), reps, percent), "met"), docs, size, percent)
+    links = verified(saved(may_link(meetings(first).union(within), reps, percent), "met"), known, size, percent)
     labels = connected_components(links)
-
-    # What a group's classes belong to so far; a list is done if all its groups are in one component.
-    now = grouped.join(labels, F.col("cid") == F.col("id"), "left").select("cid", "gid", "n", F.coalesce("component", "cid").alias("component"))
-    now = saved(now, "components")
-    spans = now.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("n"))
-    spans = saved(spans, "spans")
+    now, spans = spans_of(labels)
+    unlike = "gid <> pivot and not (low = high and low_p = high_p and low = low_p)"
+    star = saved(open_lists(spans).filter(unlike).select(F.col("gid").alias("x"), F.col("pivot").alias("y")).distinct(), "stars")
+    met = saved(may_link(meetings(star).join(links, ["a", "b"], "left_anti"), reps, percent), "met")
+    labels = joined_components(labels, verified(met, known, size, percent))
+
+    # A list is done if all its groups are in one component.
+    now, spans = spans_of(labels)
+    left = saved(open_lists(spans), "open")
+    star = saved(left.filter("gid <> pivot").select("gid", "pivot").distinct(), "stars")
     member = star.join(grouped.select("cid", "gid"), "gid").select("pivot", "cid").union(grouped.filter("cid <> head").select(F.col("gid").alias("pivot"), "cid"))
     dense = saved(member.groupBy("pivot").count().filter(F.col("count") > DENSE).select("pivot"), "dense")
     at = now.select("cid", "component", "n")
     led = heads.select(F.col("gid").alias("pivot"), "head").join(dense, "pivot").join(now.select(F.col("cid").alias("head"), F.col("component").alias("led")), "head")
     crowd = saved(member.join(led, "pivot").join(at, "cid").select("pivot", "head", "cid", "component", "n", (F.col("component") != F.col("led")).alias("outside")), "crowd")
     crowd = crowd.join(crowd.filter("outside").select("pivot").distinct(), "pivot", "left_semi")
-    by_difference = pairs_by_differences(crowd, docs, size, percent, common)
+    by_difference = pairs_by_differences(crowd, known, size, percent, common)
 
     # Lists of fewer members are compared as they are.
-    left = spans.select(F.col("gid").alias("x"), F.col("low").alias("low_x"), F.col("high").alias("high_x"), F.col("n").alias("n_x"))
-    right = spans.select(F.col("gid").alias("y"), F.col("low").alias("low_y"), F.col("high").alias("high_y"), F.col("n").alias("n_y"))
+    sparse = left.join(dense, "pivot", "left_anti").join(spans.select("gid", "n"), "gid").select("s", "gid", "pivot", "pos", "low", "high", "n", F.expr(unlike).alias("outside"))
+    side = lambda e: sparse.select("s", *[F.col(c).alias(f"{c}_{e}") for c in ("pos", "low", "high", "n")], F.col("gid").alias(e), F.col("outside").alias(f"outside_{e}"))
     apart = "not (low_x = high_x and low_y = high_y and low_x = low_y)"
-    outside = saved(star.join(dense, "pivot", "left_anti").select(F.col("gid").alias("x"), F.col("pivot").alias("y")).join(left, "x").join(right, "y").filter(apart).select("x", F.col("y").alias("pivot")), "outside")
-    rows = shared.join(outside, (F.col("gid") == F.col("x")) & (shared["pivot"] == outside["pivot"])).select("s", "x", F.col("pos").alias("pos_x")).join(left, "x")
-    others = shared.select("s", F.col("gid").alias("y"), F.col("pos").alias("pos_y")).join(rows.select("s").distinct(), "s", "left_semi").join(right, "y")
     # Where a pair's first shared shingle stands, enough must be left of both for the similarity.
     enough = f"{100 + percent} * least(n_x - pos_x, n_y - pos_y) >= {percent} * (n_x + n_y)"
-    cross = rows.join(others, "s").filter(f"x <> y and {apart} and {fits} and {enough}").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    cross = side("x").filter("outside_x").join(side("y"), "s").filter(f"x <> y and {apart} and {fits} and {enough}").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     torn = spans.filter("low < high").join(dense.withColumnRenamed("pivot", "gid"), "gid", "left_anti").select(F.col("gid").alias("x"), F.col("gid").alias("y"))
     each = lambda end, name: now.select(F.col("gid").alias(end), F.col("cid").alias(name), F.col("component").alias(f"of_{name}"))
     more = cross.union(torn).join(each("x", "a"), "x").join(each("y", "b"), "y").filter("of_a <> of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = saved(may_link(more.union(by_difference).distinct(), reps, percent).join(links, ["a", "b"], "left_anti"), "more")
-    final = connected_components(links.union(verified(more, docs, size, percent)))
+    more = saved(may_link(more.union(by_difference).distinct(), reps, percent), "more")
+    final = joined_components(labels, verified(more, known, size, percent))
+    forget(known, shared)
     out = signed.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left").join(final.withColumnRenamed("id", "cid"), "cid", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "cid")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -73,7 +73,8 @@ def learn_profiles(rows: DataFrame, ranks: int = RANKS) -> DataFrame:
     parts = rows.filter("lang is not null and text is not null").select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
     counts = parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return counts.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < ranks).select("lang", "gram", "rank")
+    # The filter on the row number itself lets Spark keep a language's first rows of each task before they are dealt.
+    return counts.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= ranks).select("lang", "gram", (F.col("_n") - 1).alias("rank"))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from calibra.llm.common import saved, table, text_bytes
 from calibra.llm.language import held_out
+from calibra.llm.shingles import word_hashes
 
 ORDER = 2
 #: Text in a chunk, and in a shard's share of the questions; the least number of either.
@@ -31,26 +32,20 @@ EM_FOLDS, EM_ROUNDS = 12, 60
 CLASSES, STEPS = 24, 4
 #: The end of a text; no word has a blank.
 END = xxhash.xxh3_64_intdigest(b" end")
-_CACHED = 500_000
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 32:
-            if len(self) >= _CACHED:
-                self.clear()
-            self[word] = h
-        return h
-
-
-_words = _Words()
-
-
-def tokens(text: str | None) -> np.ndarray:
-    """Hashes of the words, lower-cased A-Z, and of the end."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    return np.array([*[_words[w] for w in words], END], np.uint64)
+def tokens(texts: list[str | None]) -> list[np.ndarray]:
+    """Hashes of each text's words, lower-cased A-Z, and of the end. About a megabyte of text is hashed at once."""
+    out: list[np.ndarray] = []
+    held: list[str] = []
+    size = 0
+    for i, text in enumerate(texts):
+        held.append(text or "")
+        size += len(held[-1])
+        if size > 1 << 20 or i == len(texts) - 1:
+            out += [np.append(w, np.uint64(END)) for w in word_hashes(held)]
+            held, size = [], 0
+    return out
 
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -71,7 +66,7 @@ class Chunk:
 
     @classmethod
     def of(cls, texts: list[str | None], order: int) -> Chunk:
-        docs = [tokens(t) for t in texts]
+        docs = tokens(texts)
         ends = np.cumsum([len(d) for d in docs])
         words = np.concatenate(docs)
         grams, context = [words], words

@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 #: Words longer than this are encoded each time; each of the two caches is emptied when it holds so many.
-CACHED_CHARS, CACHED_WORDS = 40, 700_000
+CACHED_CHARS, CACHED_WORDS = 40, 150_000
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: All white space but the four characters at which texts are cut; and pairs of those four that split(" ") would tear.
 _OTHER_WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \t\r\n"]

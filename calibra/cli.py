@@ -51,7 +51,8 @@ def leak_audit(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 
 def prepare(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
-    """Writes the kept images' labels by split. An image that the manifest lacks is an error."""
+    """Writes the kept images and their labels by split. An image that the manifest lacks is an error, and one that is lost."""
+    categories = D.categories_of(spark, args.export)
     images, boxes = D.read_coco(spark, args.export)
     known = D.read_manifest(spark, args.manifest).select(F.col("file").alias("image"), F.col("split").alias("to"))
     lost = D.missing_from(images, known, "image").count()
@@ -59,9 +60,9 @@ def prepare(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
         raise KeyError(f"{lost} images of the export are not in the manifest")
     if known.filter("to is not null").isEmpty():
         raise ValueError("the manifest gives no image a split")
-    kept = images.join(known.filter(F.col("to").isin("train", "val", "test")), "image").drop("split").withColumnRenamed("to", "split")
-    classes = [r["cls"] for r in boxes.select("cls").distinct().orderBy("cls").collect()]
-    D.write_coco(kept, boxes.drop("split").join(kept.select("image", "split"), "image"), classes, args.out)
+    kept = images.join(known.filter(F.col("to").isin(*D.PARTS)), "image").withColumnsRenamed({"split": "published", "to": "split"})
+    D.write_coco(kept, boxes.drop("split").join(kept.select("image", "split"), "image"), categories, args.out)
+    D.copy_pictures(kept, args.export, args.out)
     return kept.groupBy("split").agg(F.count("*").alias("images")).orderBy("split")
 
 

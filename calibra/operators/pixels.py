@@ -91,15 +91,21 @@ def recolour(rgb: np.ndarray, mask: np.ndarray, target: tuple[float, float] | No
     return out, float(((fresh < 0) | (fresh > 255)).any(axis=1).mean())
 
 
-#: Arms of the experiment: which pixels change, and whose colour they get.
-ARMS = {"ring": ("ring", "other"), "sham": ("ring", None), "whole": ("whole", "other"), "reverse": ("ring", "other"), "keep": ("ring", "own")}
-
-
-def apply_arm(rgb: np.ndarray, box, boxes, arm: str, targets: dict[str, tuple[float, float]], own: str) -> tuple[np.ndarray, float]:
-    kind, whose = ARMS[arm]
+#: Fixed values, the arms of the experiment: which pixels change, and the colour that they get; none for the sham.
+ARMS = {
+    "ring": ("ring", "blue"),
+    "sham": ("ring", None),
+    "whole": ("whole", "blue"),
+    "reverse": ("ring", "yellow"),
+    "keep": ("ring", "blue"),
+}
+
+
+def apply_arm(rgb: np.ndarray, box, boxes, arm: str, targets: dict[str, tuple[float, float]]) -> tuple[np.ndarray, float]:
+    """A picture in which an arm's pixels have its target's (a, b), whatever colour they had; and the share that was clipped."""
+    kind, colour = ARMS[arm]
     mask = ring(rgb.shape[:2], box, boxes) & (rgb.max(axis=-1) > 0) if kind == "ring" else outside(rgb, boxes)
-    side = None if whose is None else own if whose == "own" else {"yellow": "blue", "blue": "yellow"}[own]
-    return recolour(rgb, mask, targets[side] if side else None)
+    return recolour(rgb, mask, targets[colour] if colour else None)
 
 
 MEASURES = "image string, box int, ring_pixels int, ring_a double, ring_b double, plate_chroma double"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -55,9 +57,12 @@ def spread(links: DataFrame) -> DataFrame:
     """id_ and label, the least id reachable over links(a, b); each round is checkpointed in the shared folder."""
     spark = links.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="calibra-"))
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            where = tempfile.mkdtemp(prefix="calibra-")
+        spark.sparkContext.setCheckpointDir(where)
     both = links.select("a", "b").union(links.select("b", "a")).distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("id_")).agg(F.least(F.col("a"), F.min("b")).alias("label")).checkpoint()
     while True:
@@ -108,7 +113,8 @@ def val_sessions(pool: DataFrame, classes: list[str], n: int, share=VAL_SHARE, t
     """Sessions for the validation part: the seeded fill with the best least-covered class, the first of equals.
 
     pool has id, session, ts, classes. A row for each session reaches every trial; the trials are dealt to tasks. The
-    permutations come from numpy's generator, so they are made in order in each task up to its own trials.
+    permutations come from numpy's generator, so they are made in order in each task up to its own trials. Where no
+    trial has a share in the range, it is an error.
     """
     per = [F.count_if(F.array_contains("classes", c)).alias(f"c{i}") for i, c in enumerate(classes)]
     sessions = pool.groupBy("session").agg(F.min("ts").alias("first"), F.count("*").alias("images"), *per).orderBy("first", "session").collect()
@@ -134,7 +140,8 @@ def val_sessions(pool: DataFrame, classes: list[str], n: int, share=VAL_SHARE, t
 
     tried = pool.sparkSession.range(0, trials, 1, 4).mapInArrow(run, "trial long, score long, sessions array<long>")
     best = tried.agg(F.max_by(F.struct("trial", "score", "sessions"), F.struct("score", -F.col("trial"))).alias("b"))
-    return best.select("b.trial", "b.score", F.explode("b.sessions").alias("session"))
+    found = F.when(F.col("b").isNull(), F.raise_error(F.lit("no trial reaches the share of the validation part")).cast("boolean")).otherwise(F.lit(True))
+    return best.filter(found).select("b.trial", "b.score", F.explode("b.sessions").alias("session"))
 
 
 def assign(rows: DataFrame, dates: DataFrame, val: DataFrame) -> DataFrame:

@@ -55,22 +55,64 @@ def read_coco(spark: SparkSession, folder: str, splits: list[str] | None = None)
     return images.drop("id"), out.select("split", "image", "gt_idx", "cls", *[F.col("bbox")[i].alias(n) for i, n in enumerate("xywh")])
 
 
-def write_coco(images: DataFrame, boxes: DataFrame, classes: list[str], folder: str) -> None:
-    """One label file a split, ids renumbered from 0 in the order of `ord` and gt_idx. Every image must have a split.
+def categories_of(spark: SparkSession, folder: str, splits: list[str] | None = None) -> list[dict]:
+    """The categories of an export, in its order. Splits that differ in them are an error."""
+    texts = whole_texts(spark, [(x, f"{folder}/{x}/{LABELS}") for x in splits or SPLITS])
+    kinds = texts.select(F.to_json(F.from_json("value", COCO)["categories"]).alias("c")).distinct().limit(2).collect()
+    if len(kinds) > 1:
+        raise ValueError("the splits of the export have different categories")
+    return json.loads(kinds[0]["c"])
 
-    A label file is one JSON value, so a split is one row at the end; its pictures stay where they are.
+
+#: The folder of each part of a prepared set.
+PARTS = {"train": "train", "val": "valid", "test": "test"}
+
+
+def write_coco(images: DataFrame, boxes: DataFrame, categories: list[dict], folder: str) -> None:
+    """A label file for each part, ids renumbered from 0 in the order of `ord` and gt_idx; read_coco reads it again.
+
+    images has split (train, val or test), ord, image, file_name, width and height; boxes has split, image, gt_idx, cls
+    and x, y, w, h. Categories stay as they are, so classes keep their ids. A file is written by one task as a stream
+    of sorted lines, an entry each, so no part of it need fit in memory.
     """
+    spark = images.sparkSession
     ids = images.withColumn("id", (F.row_number().over(Window.partitionBy("split").orderBy("ord")) - 1).cast("long"))
-    cats = {c: i for i, c in enumerate(classes)}
-    category = F.create_map(*[F.lit(v) for c in cats.items() for v in c])
+    number = F.create_map(*[F.lit(v) for c in categories for v in (c["name"], c["id"])])
     rows = boxes.join(ids.select("split", "image", F.col("id").alias("image_id")), ["split", "image"])
     rows = rows.withColumn("id", (F.row_number().over(Window.partitionBy("split").orderBy("image_id", "gt_idx")) - 1).cast("long"))
-    anns = rows.groupBy("split").agg(F.sort_array(F.collect_list(F.struct("id", "image_id", F.element_at(category, F.col("cls")).cast("long").alias("category_id"), F.array(*"xywh").alias("bbox")))).alias("annotations"))
-    imgs = ids.groupBy("split").agg(F.sort_array(F.collect_list(F.struct("id", F.col("image").alias("file_name"), "width", "height"))).alias("images"))
-    listed = F.array(*[F.struct(F.lit(i).cast("long").alias("id"), F.lit(c).alias("name")) for c, i in cats.items()])
-    out = imgs.join(anns, "split", "left").select("split", listed.alias("categories"), "images", F.coalesce("annotations", F.array().cast(anns.schema["annotations"].dataType)).alias("annotations"))
-    for s in [r["split"] for r in out.select("split").collect()]:
-        out.filter(F.col("split") == s).select(F.to_json(F.struct("categories", "images", "annotations")).alias("value")).coalesce(1).write.mode("overwrite").text(f"{folder}/{s}")
+    comma = F.when(F.col("id") > 0, ", ").otherwise("")
+    image = F.struct("id", "file_name", "width", "height", F.struct(F.col("image").alias("name")).alias("extra"))
+    box = F.struct("id", "image_id", F.element_at(number, F.col("cls")).cast("long").alias("category_id"), F.array(*"xywh").alias("bbox"))
+    entries = ids.select("split", F.lit(1).alias("part"), "id", F.concat(comma, F.to_json(image)).alias("value"))
+    entries = entries.union(rows.select("split", F.lit(3), "id", F.concat(comma, F.to_json(box))))
+    frame = [(s, n, 0, t) for s in PARTS for n, t in ((0, f'{{"categories": {json.dumps(categories)}, "images": ['), (2, '], "annotations": ['), (4, "]}"))]
+    lines = entries.union(spark.createDataFrame(frame, "split string, part int, id long, value string"))
+    files = spark._jvm.org.apache.hadoop.fs
+    for split, name in PARTS.items():
+        out, parts = files.Path(f"{folder}/{name}/{LABELS}"), files.Path(f"{folder}/{name}/_parts")
+        lines.filter(F.col("split") == split).coalesce(1).sortWithinPartitions("part", "id").select("value").write.mode("overwrite").text(parts.toString())
+        store = out.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.delete(out, False)
+        store.rename(store.globStatus(files.Path(parts, "part-*"))[0].getPath(), out)
+        store.delete(parts, True)
+
+
+def copy_pictures(images: DataFrame, source: str, folder: str) -> int:
+    """Copies images(published, split, file_name) from an export's splits to the parts of a prepared set; a lost one is an error."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for b in batches:
+            for r in b.to_pylist():
+                store, at = fs.FileSystem.from_uri(f"{source}/{r['published']}/{r['file_name']}")
+                other, to = fs.FileSystem.from_uri(f"{folder}/{PARTS[r['split']]}/{r['file_name']}")
+                other.create_dir(to.rpartition("/")[0])
+                fs.copy_files(at, to, source_filesystem=store, destination_filesystem=other)
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    return images.select("published", "split", "file_name").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
 
 
 def missing_from(rows: DataFrame, known: DataFrame, key: str = "file") -> DataFrame:

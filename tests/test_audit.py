@@ -84,6 +84,27 @@ def test_sessions_over_slices_and_merge(spark):
     assert sorted(set(merged.values())) == list(range(1, len(set(merged.values())) + 1))
 
 
+def plain_val_sessions(pool, classes, n, trials):
+    """The seeded trials one after another: sessions in order of time, taken while they fit, up to the least share."""
+    rows = {}
+    for r in pool:
+        rows.setdefault(r.session, []).append(r)
+    order = sorted(rows, key=lambda s: (min(r.ts for r in rows[s]), s))
+    rng, best = np.random.default_rng(T.VAL_SEED), None
+    for t in range(trials):
+        taken, total = [], 0
+        for p in rng.permutation(len(order)):
+            if total >= T.VAL_SHARE[0] * n:
+                break
+            if total + len(rows[order[p]]) <= T.VAL_SHARE[1] * n:
+                taken.append(order[p])
+                total += len(rows[order[p]])
+        score = min(sum(c in r.classes for s in taken for r in rows[s]) for c in classes)
+        if T.VAL_SHARE[0] * n <= total <= T.VAL_SHARE[1] * n and (best is None or score > best[1]):
+            best = t, score, sorted(taken)
+    return [(best[0], best[1], s) for s in best[2]]
+
+
 def test_split_choice(spark):
     rows = [(i, f"d{i % 5}", ["a", "b"] if i % 2 else ["a"], datetime(2025, 1, 1) + timedelta(minutes=10 * i), i // 5 + 1) for i in range(700)]
     frame = spark.createDataFrame(rows, "id long, day string, classes array<string>, ts timestamp, session long")
@@ -94,6 +115,8 @@ def test_split_choice(spark):
         T.test_dates(frame, ["a", "b"], test_least=1000).collect()
     pool = frame.join(dates.select(F.explode("dates").alias("day")), "day", "left_anti")
     val = T.val_sessions(pool, ["a", "b"], 700, trials=40)
-    assert val.collect() == T.val_sessions(pool, ["a", "b"], 700, trials=40).collect()
+    assert [(r.trial, r.score, r.session) for r in val.collect()] == plain_val_sessions(pool.collect(), ["a", "b"], 700, 40)
+    with pytest.raises(Exception, match="no trial reaches"):
+        T.val_sessions(pool, ["a", "b"], 7, trials=40).collect()
     out = {r.split: r["count"] for r in T.assign(frame.withColumn("exclusion", F.when(F.col("id") == 699, "no_boxes").otherwise("")), dates, val).groupBy("split").count().collect()}
     assert out["excluded"] == 1 and out["test"] == 140 and 0.12 * 700 - 1 <= out["val"] <= 0.17 * 700

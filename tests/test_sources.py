@@ -15,6 +15,8 @@ def export(folder):
         images = [{"id": i, "file_name": f"x{i}.jpg", "width": 64, "height": 48, "extra": {"name": n}} for i, n in enumerate(names)]
         boxes = [{"id": i, "image_id": i, "category_id": 1 + i % 2, "bbox": [1.0, 2.0, 10.0, 20.0]} for i in range(len(names)) if names[i] != "IMG_20251107_090000.jpg"]
         (folder / s / D.LABELS).write_text(json.dumps({"categories": cats, "images": images, "annotations": boxes}))
+        for i, n in enumerate(names):
+            (folder / s / f"x{i}.jpg").write_bytes(n.encode())
 
 
 def test_coco_manifest_prepare_and_evaluate(spark, tmp_path, capsys):
@@ -24,23 +26,36 @@ def test_coco_manifest_prepare_and_evaluate(spark, tmp_path, capsys):
     cli.main(["manifest", "--export", str(tmp_path / "e"), "--out", str(tmp_path / "m")])
     assert "third_party_video" in capsys.readouterr().out
     raw = spark.read.csv(str(tmp_path / "m"), header=True)
-    split = F.when(F.col("exclusion").isNotNull(), "excluded").when(F.col("file").contains("1106_13"), "train").otherwise("test")
+    split = F.when(F.col("exclusion").isNotNull(), "excluded").when(F.col("file").contains("1106_13"), "train").when(F.col("file").contains("1106_14"), "val").otherwise("test")
     D.write_csv(raw.select("file", "published_split", "width", "height", "captured_at", "boxes", F.lit("").alias("sha256"), F.lit("0" * 64).alias("phash256"), "exclusion", F.lit(None).cast("int").alias("session"), split.alias("split")), str(tmp_path / "m2"))
     assert D.read_manifest(spark, str(tmp_path / "m2")).count() == 6
     for command in ("summary", "leak-audit", "sessions"):
         cli.main([command, "--manifest", str(tmp_path / "m2")])
     assert "with_twin" in capsys.readouterr().out
     cli.main(["prepare", "--export", str(tmp_path / "e"), "--manifest", str(tmp_path / "m2"), "--out", str(tmp_path / "p")])
-    made = json.loads(spark.read.text(str(tmp_path / "p" / "test")).first().value)
-    assert [i["id"] for i in made["images"]] == [0, 1] and [a["id"] for a in made["annotations"]] == [0, 1] and made["categories"][0]["name"] == "a"
+    before = json.loads((tmp_path / "e" / "test" / D.LABELS).read_text())
+    made = json.loads((tmp_path / "p" / "test" / D.LABELS).read_text())
+    names = {i["id"]: i["extra"]["name"] for i in made["images"]}
+    assert sorted(names) == list(range(len(names))) and made["categories"] == before["categories"]
+    of = {i["id"]: i["extra"]["name"] for i in before["images"]}
+    key = lambda boxes, of: sorted((of[a["image_id"]], a["category_id"], a["bbox"]) for a in boxes if of[a["image_id"]] in names.values())
+    assert key(made["annotations"], names) == key(before["annotations"], of) and [a["id"] for a in made["annotations"]] == list(range(len(made["annotations"])))
+    assert (tmp_path / "p" / "valid" / "x0.jpg").read_bytes() == b"IMG_20251106_140000.jpg"
+    again, some = D.read_coco(spark, str(tmp_path / "p"))
+    assert again.count() == sum(1 for s in ("train", "valid", "test") for _ in json.loads((tmp_path / "p" / s / D.LABELS).read_text())["images"]) and some.count() > 0
+    other = before | {"categories": before["categories"][:2]}
+    (tmp_path / "e" / "test" / D.LABELS).write_text(json.dumps(other))
+    with pytest.raises(ValueError, match="categories"):
+        D.categories_of(spark, str(tmp_path / "e"))
+    (tmp_path / "e" / "test" / D.LABELS).write_text(json.dumps(before))
     lost = D.read_manifest(spark, str(tmp_path / "m2")).filter("file <> '4.jpg'")
     D.write_csv(lost, str(tmp_path / "m3"))
     with pytest.raises(KeyError):
         cli.main(["prepare", "--export", str(tmp_path / "e"), "--manifest", str(tmp_path / "m3"), "--out", str(tmp_path / "q")])
     (tmp_path / "r").mkdir()
-    for s, name in (("val", "IMG_20251106_140000.jpg"), ("test", "4.jpg")):
+    for s, name in (("val", "IMG_20251106_140000.jpg"), ("test", "IMG_20251107_090100.jpg")):
         (tmp_path / "r" / f"predictions_{s}.csv").write_text(f"file,class_name,confidence,x,y,w,h\n{name},b,0.9000,1.0,2.0,10.0,20.0\n{name},a,0.2000,50.0,2.0,10.0,20.0\n")
-    cli.main(["evaluate", "--prepared", str(tmp_path / "e"), "--results", str(tmp_path / "r")])
+    cli.main(["evaluate", "--prepared", str(tmp_path / "p"), "--results", str(tmp_path / "r")])
     assert "threshold" in capsys.readouterr().out
 
 

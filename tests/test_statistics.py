@@ -99,7 +99,13 @@ def test_masks_recolour_and_measure(spark):
     assert np.abs(same.astype(int) - rgb).max() <= 1 and (same[~mask] == rgb[~mask]).all() and clipped == 0
     blue, _ = P.recolour(rgb, mask, (0.0, -20.0))
     assert (blue[~mask] == rgb[~mask]).all() and np.median(P.to_lab(blue[mask])[:, 2]) < -5
-    assert P.apply_arm(rgb, box, [box], "sham", {}, "blue")[0].shape == rgb.shape
+    assert P.apply_arm(rgb, box, [box], "sham", {})[0].shape == rgb.shape
+    targets = {"blue": (20.0, -40.0), "yellow": (0.0, 40.0)}
+    fresh = {arm: P.apply_arm(rgb, box, [box], arm, targets)[0] for arm in P.ARMS}
+    assert (fresh["ring"] == fresh["keep"]).all() and (fresh["ring"] != fresh["reverse"]).any() and (fresh["whole"] != fresh["ring"]).any()
+    again = P.apply_arm(fresh["ring"], box, [box], "ring", targets)[0]
+    changed = (fresh["ring"] != rgb).any(axis=-1)
+    assert np.median(P.to_lab(again[changed])[:, 2]) < -20 < 20 < np.median(P.to_lab(fresh["reverse"][changed])[:, 2])  # what is blue already stays blue
     schema = "image string, width int, height int, data binary, boxes array<struct<cls: string, x: double, y: double, w: double, h: double>>"
     grey = np.full((60, 80, 3), 128, np.uint8)
     rows = [("g", 80, 60, bytearray(grey.tobytes()), [("a", 20.0, 20.0, 10.0, 10.0), ("a", 0.0, 0.0, 80.0, 60.0)]), ("black", 80, 60, bytearray(80 * 60 * 3), [("a", 20.0, 20.0, 10.0, 10.0)])]

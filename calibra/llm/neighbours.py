@@ -23,7 +23,7 @@ MOST_PARTS, SAMPLE_PER_PART = 256, 128
 GRAPH, CAPACITY, PASSES = 12, 1.1, 12
 HIDDEN, STEPS, BATCH, RATE = 128, 1500, 256, 3e-3
 #: Recall on the sample that sets how many parts a query searches.
-WANTED = 0.985
+WANTED = 0.95
 #: Vectors in a block of candidates, and queries in a block: what one task compares at a time.
 BLOCK = 4096
 

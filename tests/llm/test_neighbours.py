@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from calibra.llm.common import table
-from calibra.llm.neighbours import op6_learned_partitions, search
+from calibra.llm.neighbours import SAMPLE_PER_PART, learn_router, op6_learned_partitions, part_count, search
 
 SCHEMA = "vec_id long, embedding array<float>, part int, rep string"
 
@@ -38,3 +38,29 @@ def test_small_tables_copies_and_bad_vectors(spark):
     few = search(spark.createDataFrame(rows[:3], SCHEMA), F.col("vec_id") % 1 == 0, 20).collect()
     assert len(few) == 6
     assert search(spark.createDataFrame([], SCHEMA), F.lit(True), 3).count() == 0
+
+
+def met_and_recall(x, k=20):
+    """The share of all vectors that a query meets, and the share of its k nearest among them."""
+    parts = part_count(len(x))
+    router = learn_router(x[: parts * SAMPLE_PER_PART], parts, k)
+    home = router.parts(x, 1)[:, 0]
+    asked = x[::20]
+    searched = router.parts(asked, router.probes)
+    met = (searched[:, :, None] == home[None, None, :]).any(axis=1)
+    near = asked @ x.T
+    near[np.arange(len(asked)), np.arange(0, len(x), 20)] = -np.inf
+    true = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    return met.mean(), np.take_along_axis(met, true, axis=1).mean()
+
+
+def test_a_query_meets_a_part_of_all_vectors():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 64))
+    clustered = centres[rng.integers(0, 60, 4000)] + 0.4 * rng.normal(size=(4000, 64))
+    met, recall = met_and_recall(clustered / np.linalg.norm(clustered, axis=1, keepdims=True))
+    assert met < 0.4 and recall >= 0.9
+    # Without any structure nearly all parts hold some of the nearest; even there not all vectors are met.
+    plain = rng.normal(size=(4000, 64))
+    met, recall = met_and_recall(plain / np.linalg.norm(plain, axis=1, keepdims=True))
+    assert met < 0.9 and recall >= 0.9

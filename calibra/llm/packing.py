@@ -8,7 +8,6 @@ power of two. A trainer reads whole buckets, so every batch has one length.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -73,7 +72,3 @@ def digest(pieces: DataFrame) -> DataFrame:
 
 def op8_power_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 0))
-
-
-def crc(ids: np.ndarray) -> int:
-    return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())

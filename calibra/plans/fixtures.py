@@ -45,6 +45,22 @@ ARMS = """SELECT 'arm' || CAST(s_suppkey % 5 AS STRING) AS arm, s_suppkey AS ima
     (s_suppkey * 7) % 97 > 40 AS success, CAST(s_suppkey % 10 AS DOUBLE) / 10 AS clipped FROM {supplier}"""
 #: Validation scores by epoch; one in seven is missing.
 EPOCHS = """SELECT CAST(s_suppkey AS BIGINT) AS epoch, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE CAST((s_suppkey * 37) % 41 AS DOUBLE) / 41 END AS val, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE CAST((s_suppkey * 53) % 41 AS DOUBLE) / 41 END AS ema FROM {supplier}"""
+#: Boxes of studies: a group, the outcome on record, and the colour of the ring, which one in nine lacks.
+RECORDED = """SELECT c_nationkey AS study, c_custkey AS image, CASE WHEN c_custkey % 4 = 0 THEN 'M' WHEN c_custkey % 4 = 3 THEN 'missed' ELSE 'C' END AS grp,
+    CASE WHEN c_custkey % 4 = 0 THEN 'k01' WHEN c_custkey % 4 = 3 THEN 'missed' ELSE 'k00' END AS outcome, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_acctbal - 4500 END AS ring_b FROM {customer}"""
+#: The outcomes met again, which one in 97 lacks, and those after a change of colours.
+LOCAL = "SELECT c_nationkey AS study, c_custkey AS image, CASE WHEN c_custkey % 31 = 0 THEN 'missed' WHEN c_custkey % 4 = 0 THEN 'k01' ELSE 'k00' END AS outcome FROM {customer} WHERE c_custkey % 97 <> 0"
+AFTER = "SELECT c_nationkey AS study, c_custkey AS image, CASE WHEN (c_custkey * 7 + c_nationkey) % 5 < 2 THEN 'k01' WHEN c_custkey % 6 = 0 THEN 'missed' ELSE 'k00' END AS outcome FROM {customer}"
+#: Numbers that the written rules decide on, a case for each supplier.
+CASES = """SELECT s_suppkey AS k, s_suppkey % 40 AS boxes_m, (s_suppkey * 3) % 50 AS boxes_c, s_suppkey % 13 AS images_m, (s_suppkey * 5) % 17 AS images_c, CAST(s_suppkey % 11 AS DOUBLE) / 10 AS auc,
+    CAST(s_suppkey % 11 AS DOUBLE) / 10 - CAST(s_suppkey % 7 AS DOUBLE) / 20 AS low, CAST(s_suppkey % 11 AS DOUBLE) / 10 + CAST(s_suppkey % 5 AS DOUBLE) / 20 AS high,
+    15 + s_suppkey % 60 AS m_c, s_suppkey % 20 AS k_c, s_suppkey % 23 AS m_a, 5 + (s_suppkey * 11) % 60 AS k_a, CAST(s_suppkey % 8 AS DOUBLE) / 100 AS p, s_suppkey % 3 <> 0 AS safe, s_suppkey % 10 <> 0 AS valid FROM {supplier}"""
+#: Records of two runs, the even customer's and the odd one's.
+RECORDS = """SELECT CAST(floor(c_custkey / 2) AS BIGINT) AS pair, c_custkey % 2 AS side, CASE WHEN c_custkey % 12 = 0 THEN NULL ELSE c_mktsegment END AS commit_, CAST(c_nationkey % 3 AS STRING) AS library,
+    CAST(c_custkey % 7 AS STRING) AS versions, CAST(length(c_name) AS STRING) AS split_sizes, CASE WHEN c_acctbal > 0 THEN 'a' ELSE 'b' END AS gpu, CAST(c_nationkey AS STRING) AS threshold,
+    CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 6 = 0 THEN '2C' ELSE '2A' END AS run, '2A' AS expected, CASE WHEN c_custkey % 8 = 0 THEN NULL ELSE c_custkey % 9 <> 0 END AS check_ok, c_custkey AS id FROM {customer}"""
+PATHS = """SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'train_config.' WHEN p_partkey % 3 = 1 THEN 'model_config.' ELSE '' END || CASE WHEN p_size % 4 = 0 THEN 'seed' WHEN p_size % 4 = 1 THEN 'aug_config.flip' WHEN p_size % 4 = 2 THEN 'lr' ELSE 'output_dir' END AS path,
+    CASE WHEN p_partkey % 2 = 0 THEN 'C:' || chr(92) || 'cache' || chr(92) ELSE '/cache/' END || p_name AS file, p_name AS name FROM {part}"""
 
 _HOLE = re.compile(r"\{(\w+)(?::(\w+))?\}")
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calibra.functions import scalars as S
+from calibra.operators import gates as G
 from calibra.operators import matching as M
 from calibra.operators import near_dup as N
 from calibra.operators import rules as R
@@ -532,3 +533,87 @@ def picture_hashes(spark, sf):
     from calibra.operators.pixels import perceptual_hash
 
     return perceptual_hash(_pictures(spark, sf))
+
+
+_GATE = with_(r=fx.RECORDED, l=fx.LOCAL, a=fx.AFTER) + """, g AS (SELECT r.*, l.outcome AS met, r.outcome IS NOT DISTINCT FROM l.outcome AS ok FROM r LEFT JOIN l USING (study, image) WHERE grp IN ('M', 'C')),
+  b AS (SELECT study, image, unnest(['ring', 'sham', 'whole']) AS arm FROM g WHERE ok AND grp = 'M' UNION ALL SELECT study, image, 'reverse' FROM g WHERE ok AND grp = 'C' AND ring_b <= 0 UNION ALL SELECT study, image, 'keep' FROM g WHERE ok AND grp = 'C' AND ring_b > 0),
+  s AS (SELECT b.*, a.outcome = CASE arm WHEN 'reverse' THEN 'k01' ELSE 'k00' END AS success FROM b JOIN a USING (study, image))"""
+
+
+def _gate(spark, sf):
+    recorded = frame(spark, sf, fx.RECORDED)
+    gate = G.baseline(recorded, frame(spark, sf, fx.LOCAL), "study", "image")
+    boxes = G.arm_boxes(recorded, gate, "study", "image").join(frame(spark, sf, fx.AFTER), ["study", "image"])
+    return gate, boxes.withColumn("success", G.success(F.col("arm"), F.col("outcome"), "k00", "k01"))
+
+
+@query(_GATE + " SELECT study, image, grp, outcome, met, ok FROM g")
+def baseline_gate(spark, sf):
+    return _gate(spark, sf)[0].drop("ring_b")
+
+
+@query(_GATE + " SELECT study, arm, count(*)::BIGINT AS n, count(*) FILTER (success)::BIGINT AS successes FROM s GROUP BY ALL")
+def arm_success(spark, sf):
+    return _gate(spark, sf)[1].groupBy("study", "arm").agg(F.count("*").alias("n"), F.count_if("success").alias("successes"))
+
+
+@query(_GATE + """, c AS (SELECT study, count(*) FILTER (NOT ok) AS mismatches FROM g GROUP BY study), v AS (SELECT study, mismatches, count(arm) FILTER (arm = 'ring') AS n, count(*) FILTER (success AND arm = 'ring') AS ring, count(*) FILTER (success AND arm = 'whole') AS whole, count(*) FILTER (success AND arm = 'sham') AS sham FROM c LEFT JOIN s USING (study) GROUP BY ALL)
+  SELECT study, mismatches::BIGINT AS mismatches, n::BIGINT AS n, CASE WHEN mismatches > 2 THEN 'no verdict' WHEN sham > 2 THEN 'pipeline noise' WHEN 2 * ring >= n THEN 'for (local)' WHEN 2 * whole >= n THEN 'for (scene)' WHEN 10 * ring <= n AND 10 * whole <= n THEN 'against' ELSE 'inconclusive' END AS verdict FROM v""")
+def gated_verdict(spark, sf):
+    gate, boxes = _gate(spark, sf)
+    n = lambda arm, c=F.lit(True): F.count_if((F.col("arm") == arm) & c)
+    arms = boxes.groupBy("study").agg(n("ring").alias("n"), *[n(a, F.col("success")).alias(a) for a in ("ring", "whole", "sham")])
+    rows = gate.groupBy("study").agg(F.count_if(~F.col("ok")).alias("mismatches")).join(arms, "study", "left").na.fill(0)
+    return rows.select("study", "mismatches", "n", R.gate(F.col("mismatches"), R.recolour(F.col("n"), F.col("ring"), F.col("whole"), F.col("sham"))).alias("verdict"))
+
+
+_CASES = with_(c=fx.CASES)
+
+
+@query(_CASES + """ SELECT k, CASE WHEN least(boxes_m, boxes_c) < 15 OR least(images_m, images_c) < 6 THEN 'inconclusive' WHEN auc >= 0.7 AND low > 0.55 THEN 'for' WHEN auc <= 0.3 AND high < 0.45 THEN 'reversed' WHEN low >= 0.3 AND high <= 0.7 THEN 'against' ELSE 'inconclusive' END AS verdict FROM c""")
+def backdrop_verdict(spark, sf):
+    names = ("boxes_m", "boxes_c", "images_m", "images_c", "auc", "low", "high")
+    return frame(spark, sf, fx.CASES).select("k", R.backdrop(*[F.col(n) for n in names]).alias("verdict"))
+
+
+@query(_CASES + """ SELECT k, CASE WHEN NOT valid THEN 'invalid' WHEN m_c <= 20 THEN 'void' WHEN m_a > m_c // 2 OR p >= 0.05 THEN 'not fixed' WHEN 2 * (k_a - k_c) < m_c - m_a THEN 'displaced' WHEN safe THEN 'fixed' ELSE 'fixed at a cost' END AS verdict FROM c""")
+def run_decision_cases(spark, sf):
+    names = ("m_c", "k_c", "m_a", "k_a", "p", "safe", "valid")
+    return frame(spark, sf, fx.CASES).select("k", R.run_decision(*[F.col(n) for n in names]).alias("verdict"))
+
+
+_FIELDS = ["commit_", "library", "versions", "split_sizes", "gpu", "threshold"]
+
+
+@query(with_(r=fx.RECORDS) + ", p AS (SELECT pair, a.* EXCLUDE (pair), b AS other_ FROM (SELECT * FROM r WHERE side = 0) a FULL JOIN (SELECT r AS b, pair FROM r WHERE side = 1) USING (pair)) " + " UNION ALL ".join(f"SELECT pair, '{f}' AS field, {f} AS one, other_.{f} AS other FROM p WHERE {f} IS DISTINCT FROM other_.{f}" for f in _FIELDS))
+def record_differences(spark, sf):
+    rows = frame(spark, sf, fx.RECORDS)
+    return G.record_differences(rows.filter("side = 0"), rows.filter("side = 1"), ["pair"], _FIELDS)
+
+
+@query(with_(r=fx.RECORDS) + " SELECT id, 'run' AS problem FROM r WHERE run IS NULL OR run <> expected UNION ALL SELECT id, 'config_check' FROM r WHERE check_ok IS NULL OR NOT check_ok")
+def record_problems(spark, sf):
+    return G.record_problems(frame(spark, sf, fx.RECORDS), "id")
+
+
+@query("WITH c AS (SELECT DISTINCT p_partkey % 3 AS split, p_size AS id, p_brand AS name FROM part) SELECT id, name, count(*)::BIGINT AS splits FROM c GROUP BY ALL HAVING count(*) < (SELECT count(DISTINCT split) FROM c)")
+def category_differences(spark, sf):
+    return G.category_differences(spark.read.parquet(f"{sf}/part.parquet").select((F.col("p_partkey") % 3).alias("split"), F.col("p_size").alias("id"), F.col("p_brand").alias("name")))
+
+
+@query("WITH d AS (SELECT strftime(o_orderdate, '%Y%m%d') AS day, o_orderkey % 5 = 1 AS test FROM orders) SELECT day FROM d GROUP BY day HAVING bool_or(test) AND NOT bool_and(test)")
+def shared_days(spark, sf):
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("image"), F.date_format("o_orderdate", "yyyyMMdd").alias("day"))
+    return G.shared_days(rows.join(frame(spark, sf, fx.IMAGES), "image"))
+
+
+@query(with_(gt=fx.GT) + " SELECT 'several' AS reason, count(*)::BIGINT AS n FROM (SELECT image FROM gt WHERE cls = 'k00' GROUP BY image HAVING count(*) > 1) HAVING count(*) > 0 UNION ALL SELECT 'number', count(*) FROM gt WHERE cls = 'k00' HAVING count(*) <> 100")
+def target_refusals(spark, sf):
+    return G.target_refusals(frame(spark, sf, fx.GT), "k00", 100)
+
+
+@query(with_(p=fx.PATHS) + " SELECT id, regexp_full_match(path, 'train_config[.](aug_config|augmentation_backend|seed|dataset_dir|output_dir)([.].*)?') AS allowed, regexp_extract(file, '[^/\\\\]*$') AS file, "
+  "list_transform(range(8), lambda i: ('0x' || sha256(name)[8 * i + 1 : 8 * i + 8])::BIGINT)::VARCHAR AS words FROM p")
+def names_and_bits(spark, sf):
+    words = F.concat(F.lit("["), F.array_join(F.transform(S.hex_words(F.sha2("name", 256)), lambda w: w.cast("string")), ", "), F.lit("]"))
+    return frame(spark, sf, fx.PATHS).select("id", G.allowed_field(F.col("path")).alias("allowed"), S.basename(F.col("file")).alias("file"), words.alias("words"))

@@ -45,6 +45,17 @@ def lab_columns(r: Column, g: Column, b: Column) -> Column:
     return F.struct((116 * f[1] - 16).alias("l"), (500 * (f[0] - f[1])).alias("a"), (200 * (f[1] - f[2])).alias("b"))
 
 
+def rgb_columns(l: Column, a: Column, b: Column) -> Column:
+    """The inverse as a column expression, not cut off."""
+    fy = (l + 16) / 116
+    xyz = [F.when(f * f * f > EPS, f * f * f).otherwise((116 * f - 16) / KAPPA) * float(w) for f, w in zip((fy + a / 500, fy, fy - b / 200), WHITE, strict=True)]
+    out = []
+    for row in np.linalg.inv(RGB_TO_XYZ):
+        c = sum((float(m) * v for m, v in zip(row, xyz, strict=True)), F.lit(0.0))
+        out.append(F.when(c <= 0.0031308, 12.92 * c).otherwise(1.055 * F.pow(F.greatest(c, F.lit(0.0031308)), F.lit(1 / 2.4)) - 0.055) * 255)
+    return F.struct(*[v.alias(n) for v, n in zip(out, "rgb", strict=True)])
+
+
 def inside(shape: tuple[int, int], box: tuple[float, float, float, float]) -> np.ndarray:
     """Pixels whose centres lie in a box."""
     x, y, w, h = box

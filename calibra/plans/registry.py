@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calibra.functions import geometry as P
 from calibra.functions import scalars as S
 from calibra.operators import gates as G
 from calibra.operators import matching as M
@@ -390,27 +391,27 @@ def materialize_ids(spark, sf):
     return rows.withColumn("k", place).join(images, ["split", "conv_id"]).select("split", "conv_id", "turn", "image_id", (F.col("base") + F.col("k")).cast("long").alias("annotation_id"))
 
 
-@query("""WITH f AS (SELECT event_id AS run, 'props.' || k AS path, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events WHERE event_id < 400) UNION ALL SELECT event_id, 'type', event_type FROM events WHERE event_id < 400),
-  p AS (SELECT a.run, a.path, a.value AS one, b.value AS other FROM f a LEFT JOIN f b ON b.run = a.run + 200 AND b.path = a.path WHERE a.run < 200) SELECT path, one, other, count(*)::BIGINT AS n, (path = 'type') AS allowed FROM p WHERE one IS DISTINCT FROM other GROUP BY ALL""")
-def config_diff(spark, sf):
-    rows = spark.read.parquet(f"{sf}/events.parquet").filter("event_id < 400")
-    flat = R.flatten(rows.select(F.col("event_id").alias("run"), F.concat(F.lit('{"type": "'), "event_type", F.lit('", "props": '), "props", F.lit("}")).alias("config")))
-    flat = flat.withColumn("path", F.concat_ws("#", (F.col("run") % 200).cast("string"), "path"))
-    out = R.config_diff(flat.filter("run < 200"), flat.filter("run >= 200"), [], [])
+def _paired_configs(spark, sf, key, side):
+    """How often each field differs in each way between the two sides of each key, over all events."""
+    rows = spark.read.parquet(f"{sf}/events.parquet").select(F.struct(key.alias("key"), side.alias("side")).alias("run"), F.concat(F.lit('{"type": "'), "event_type", F.lit('", "props": '), "props", F.lit("}")).alias("config"))
+    flat = R.flatten(rows).withColumn("path", F.concat_ws("#", F.col("run.key").cast("string"), "path"))
+    out = R.config_diff(flat.filter("run.side = 0"), flat.filter("run.side = 1"), [], [])
     name = F.substring_index("path", "#", -1)
     return out.groupBy(name.alias("path"), "one", "other", (name == "type").alias("allowed")).agg(F.count("*").alias("n"))
 
 
-# config_diff() reads 400 events; this pairs every event with the next by id, whatever the size.
+# Of every 400 events, the first 200 are configs and the other 200 those that they are compared with.
+@query("""WITH f AS (SELECT event_id // 400 * 200 + event_id % 200 AS k, event_id // 200 % 2 AS side, path, value FROM (SELECT event_id, 'props.' || k AS path, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) UNION ALL SELECT event_id, 'type', event_type FROM events)),
+  p AS (SELECT path, a.value AS one, b.value AS other FROM (SELECT * FROM f WHERE side = 0) a FULL JOIN (SELECT * FROM f WHERE side = 1) b USING (k, path)) SELECT path, one, other, count(*)::BIGINT AS n, (path = 'type') AS allowed FROM p WHERE one IS DISTINCT FROM other GROUP BY ALL""")
+def config_diff(spark, sf):
+    return _paired_configs(spark, sf, F.expr("event_id div 400 * 200 + event_id % 200"), F.expr("event_id div 200 % 2"))
+
+
+# Every event is compared with the next by id.
 @query("""WITH f AS (SELECT event_id // 2 AS k, event_id % 2 AS side, path, value FROM (SELECT event_id, 'props.' || k AS path, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) UNION ALL SELECT event_id, 'type', event_type FROM events)),
   p AS (SELECT path, a.value AS one, b.value AS other FROM (SELECT * FROM f WHERE side = 0) a FULL JOIN (SELECT * FROM f WHERE side = 1) b USING (k, path)) SELECT path, one, other, count(*)::BIGINT AS n, (path = 'type') AS allowed FROM p WHERE one IS DISTINCT FROM other GROUP BY ALL""")
 def config_diff_all(spark, sf):
-    rows = spark.read.parquet(f"{sf}/events.parquet")
-    flat = R.flatten(rows.select(F.col("event_id").alias("run"), F.concat(F.lit('{"type": "'), "event_type", F.lit('", "props": '), "props", F.lit("}")).alias("config")))
-    flat = flat.withColumn("path", F.concat_ws("#", F.floor(F.col("run") / 2).cast("string"), "path"))
-    out = R.config_diff(flat.filter("run % 2 = 0"), flat.filter("run % 2 = 1"), [], [])
-    name = F.substring_index("path", "#", -1)
-    return out.groupBy(name.alias("path"), "one", "other", (name == "type").alias("allowed")).agg(F.count("*").alias("n"))
+    return _paired_configs(spark, sf, F.expr("event_id div 2"), F.expr("event_id % 2"))
 
 
 _MEASURES = with_(m=fx.MEASURES)
@@ -493,12 +494,47 @@ def median_of_medians(spark, sf):
     return rounded(X.median_targets(rows), "a_yellow", "b_yellow", "a_blue", "b_blue")
 
 
-@query()
+# The published sRGB and CIELAB constants, written out again.
+_COLOURS = "c AS (SELECT p_partkey, p_partkey * 7 % 256 AS r, p_partkey * 13 % 256 AS g, p_partkey * 29 % 256 AS b FROM part)"
+_LINEAR = "CASE WHEN {0} / 255.0::DOUBLE <= 0.04045 THEN {0} / 255.0::DOUBLE / 12.92 ELSE pow(({0} / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END AS {0}"
+_CURVE = "CASE WHEN {0} > EPS THEN cbrt({0}) ELSE (KAPPA * {0} + 16) / 116 END AS {0}"
+
+
+def _shade(v: Column) -> Column:
+    """Six decimals, and no negative zero."""
+    return F.when(F.round(v, 6) == 0, 0.0).otherwise(F.round(v, 6))
+
+
+def _colours(spark, sf):
+    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", *[((F.col("p_partkey") * k) % 256).cast("double").alias(c) for c, k in (("r", 7), ("g", 13), ("b", 29))])
+
+
+def _lab_sql() -> str:
+    from calibra.operators.pixels import EPS, KAPPA, WHITE
+
+    n = lambda v: f"{float(v)!r}::DOUBLE"
+    linear, curve = ", ".join(_LINEAR.format(c) for c in "rgb"), ", ".join(_CURVE.format(c) for c in "xyz").replace("EPS", n(EPS)).replace("KAPPA", n(KAPPA))
+    xyz = [("0.4124564", "0.3575761", "0.1804375"), ("0.2126729", "0.7151522", "0.0721750"), ("0.0193339", "0.1191920", "0.9503041")]
+    t = ", ".join(f"({i}::DOUBLE * r + {j}::DOUBLE * g + {k}::DOUBLE * b) / {n(w)} AS {c}" for c, (i, j, k), w in zip("xyz", xyz, WHITE, strict=True))
+    shade = ", ".join(f"CASE WHEN round({e}, 6) = 0 THEN 0.0::DOUBLE ELSE round({e}, 6) END AS {c}" for c, e in (("l", "116 * y - 16"), ("a", "500 * (x - y)"), ("b_star", "200 * (y - z)")))
+    return f"WITH {_COLOURS}, l AS (SELECT p_partkey, {linear} FROM c), t AS (SELECT p_partkey, {t} FROM l), f AS (SELECT p_partkey, {curve} FROM t) SELECT p_partkey, {shade} FROM f"
+
+
+@query(_lab_sql())
 def lab_colours(spark, sf):
     from calibra.operators.pixels import lab_columns
 
-    rows = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", *[((F.col("p_partkey") * k) % 256).cast("double").alias(c) for c, k in (("r", 7), ("g", 13), ("b", 29))])
-    return rounded(rows.withColumn("lab", lab_columns(F.col("r"), F.col("g"), F.col("b"))).select("p_partkey", "lab.l", "lab.a", F.col("lab.b").alias("b_star")), "l", "a", "b_star")
+    lab = lab_columns(F.col("r"), F.col("g"), F.col("b"))
+    return _colours(spark, sf).withColumn("lab", lab).select("p_partkey", *[_shade(F.col(f"lab.{f}")).alias(n) for f, n in (("l", "l"), ("a", "a"), ("b", "b_star"))])
+
+
+@query(f"WITH {_COLOURS} SELECT p_partkey, r::DOUBLE AS r, g::DOUBLE AS g, b::DOUBLE AS b FROM c")
+def lab_inverse(spark, sf):
+    from calibra.operators.pixels import lab_columns, rgb_columns
+
+    lab = _colours(spark, sf).withColumn("lab", lab_columns(F.col("r"), F.col("g"), F.col("b")))
+    lab = lab.withColumn("rgb", rgb_columns(F.col("lab.l"), F.col("lab.a"), F.col("lab.b")))
+    return lab.select("p_partkey", *[_shade(F.col(f"rgb.{c}")).alias(c) for c in "rgb"])
 
 
 def _pictures(spark, sf):
@@ -617,3 +653,22 @@ def target_refusals(spark, sf):
 def names_and_bits(spark, sf):
     words = F.concat(F.lit("["), F.array_join(F.transform(S.hex_words(F.sha2("name", 256)), lambda w: w.cast("string")), ", "), F.lit("]"))
     return frame(spark, sf, fx.PATHS).select("id", G.allowed_field(F.col("path")).alias("allowed"), S.basename(F.col("file")).alias("file"), words.alias("words"))
+
+
+@query(with_(gt=fx.GT) + """, c AS (SELECT image, gt_idx, round_even(x, 0)::BIGINT AS x0, round_even(y, 0)::BIGINT AS y0, round_even(x + w, 0)::BIGINT AS x1, round_even(y + h, 0)::BIGINT AS y1,
+  greatest(0, ceil(x - 0.5))::BIGINT AS first, ceil(x + w - 0.5)::BIGINT AS stop FROM gt) SELECT image, gt_idx, x0, y0, x1 - x0 AS wide, y1 - y0 AS high, first, greatest(first, least(48, stop)) AS stop FROM c""")
+def box_pixels(spark, sf):
+    box = P.sizes(P.corners(P.box()))
+    span = P.span(F.col("x"), F.col("x") + F.col("w"), F.lit(48))
+    rows = frame(spark, sf, fx.GT).select("image", "gt_idx", box.alias("s"), span.alias("p"))
+    return rows.select("image", "gt_idx", F.col("s.x").alias("x0"), F.col("s.y").alias("y0"), F.col("s.w").alias("wide"), F.col("s.h").alias("high"), F.col("p.first").alias("first"), F.col("p.end").alias("stop"))
+
+
+@query("""SELECT side, grp, count(*)::BIGINT AS n FROM (SELECT CASE WHEN o_totalprice > 150000 THEN 'yellow' ELSE 'blue' END AS side,
+  CASE WHEN o_custkey % 5 = 4 THEN 'missed' WHEN o_custkey % 5 = (o_orderkey + 1) % 4 THEN 'misread' WHEN o_custkey % 5 = o_orderkey % 4 THEN 'correct' ELSE 'other' END AS grp FROM orders) GROUP BY ALL""")
+def outcome_groups(spark, sf):
+    name = lambda v: F.concat(F.lit("k"), v.cast("string"))
+    key, pred = F.col("o_orderkey"), F.col("o_custkey") % 5
+    group = S.outcome_group(name(key % 4), F.when(pred == 4, "missed").otherwise(name(pred)), name((key + 1) % 4))
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select(S.side(F.col("o_totalprice") - 150000).alias("side"), group.alias("grp"))
+    return rows.groupBy("side", "grp").agg(F.count("*").alias("n"))

@@ -10,6 +10,7 @@ from calibra.llm.lines import op9_fuzzy_lines
 from calibra.llm.mixing import OP1_SQL, op1_hierarchical_mix
 from calibra.llm.neighbours import op6_learned_partitions
 from calibra.llm.packing import op8_power_packing
+from calibra.llm.repeats import op11_grouped_suffixes
 from calibra.llm.scoring import op7_deleted_interpolation
 from calibra.llm.tokenfile import op2_token_files
 
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_power_packing": op8_power_packing,
     "op9_fuzzy_lines": op9_fuzzy_lines,
     "op10_bottom_k": op10_bottom_k,
+    "op11_grouped_suffixes": op11_grouped_suffixes,
 }
 ORACLE_SQL = {"op1_hierarchical_mix": OP1_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from calibra.llm.codes import op13_exponion_codes
 from calibra.llm.fingerprints import op10_bottom_k
 from calibra.llm.html import op3_wrappers
 from calibra.llm.jaccard import op4_grouped_prefix_join
@@ -13,6 +14,7 @@ from calibra.llm.packing import op8_power_packing
 from calibra.llm.repeats import op11_grouped_suffixes
 from calibra.llm.scoring import op7_deleted_interpolation
 from calibra.llm.tokenfile import op2_token_files
+from calibra.llm.whitening import op12_range_finder
 
 QUERIES = {
     "op1_hierarchical_mix": op1_hierarchical_mix,
@@ -26,5 +28,7 @@ QUERIES = {
     "op9_fuzzy_lines": op9_fuzzy_lines,
     "op10_bottom_k": op10_bottom_k,
     "op11_grouped_suffixes": op11_grouped_suffixes,
+    "op12_range_finder": op12_range_finder,
+    "op13_exponion_codes": op13_exponion_codes,
 }
 ORACLE_SQL = {"op1_hierarchical_mix": OP1_SQL}

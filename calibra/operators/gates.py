@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 #: Groups of boxes that have an arm: misread and correct ones.
 MISREAD, CORRECT = "M", "C"
-#: Sections and fields of a configuration in which two runs may differ.
+#: Sections of a configuration that are compared, the one in which two runs may differ with the fields in which they may,
+#: and fields that name files, which are the same file in any folder.
+SECTIONS = ["train_config", "model_config", "class_names", "num_classes"]
 SECTION, FIELDS = "train_config", ["aug_config", "augmentation_backend", "seed", "dataset_dir", "output_dir"]
+FILE_FIELDS = ["model_config.pretrain_weights"]
 
 
 def baseline(recorded: DataFrame, local: DataFrame, *keys: str) -> DataFrame:
@@ -68,3 +71,49 @@ def target_refusals(gt: DataFrame, target: str, expected: int) -> DataFrame:
 def allowed_field(path: Column) -> Column:
     """Whether two runs may differ in a dotted path."""
     return (F.split_part(path, F.lit("."), F.lit(1)) == SECTION) & F.split_part(path, F.lit("."), F.lit(2)).isin(FIELDS)
+
+
+def config_problems(one: DataFrame, other: DataFrame, keys: list[str], sections: list[str] | None = None, files: list[str] | None = None) -> DataFrame:
+    """keys, path, one, other: fields of two flattened configurations(keys, path, value) that differ and may not.
+
+    Only the compared sections count. A field that one side lacks differs; a field that names a file differs if the file's
+    name does.
+    """
+    from calibra.functions.scalars import basename
+
+    compared = F.split_part(F.col("path"), F.lit("."), F.lit(1)).isin(sections or SECTIONS) & ~allowed_field(F.col("path"))
+    named = F.col("path").isin(FILE_FIELDS if files is None else files)
+    pick = lambda df, name: df.filter(compared).select(*keys, "path", F.col("value").alias(name), F.when(named, basename(F.col("value"))).otherwise(F.col("value")).alias(f"_{name}"))
+    both = pick(one, "one").join(pick(other, "other"), [*keys, "path"], "full_outer")
+    # For a file that neither names, nothing is compared; elsewhere a missing field is null on one side alone.
+    return both.filter(~F.col("_one").eqNullSafe(F.col("_other"))).drop("_one", "_other")
+
+
+def treatment_problems(flat: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, path, wanted, value: fields of wanted(keys, path, value) that a flattened configuration has otherwise or not at all."""
+    need = wanted.select(*keys, "path", F.col("value").alias("wanted"))
+    return need.join(flat.select(*keys, "path", "value"), [*keys, "path"], "left").filter(~F.col("wanted").eqNullSafe(F.col("value"))).select(*keys, "path", "wanted", "value")
+
+
+def uncovered(outcomes: DataFrame, measured: DataFrame, *keys: str) -> DataFrame:
+    """keys of outcomes without a measured value: there must be none."""
+    return outcomes.select(*keys).join(measured.filter(F.col("value").isNotNull()).select(*keys), [*keys], "left_anti")
+
+
+def not_reproduced(recorded: DataFrame, scored: DataFrame, kinds: list[str], *keys: str) -> DataFrame:
+    """keys, outcome, recorded, scored: kinds of outcome whose numbers are not those on record; others count as `other`."""
+    kind = F.when(F.col("outcome").isin(kinds), F.col("outcome")).otherwise("other")
+    count = lambda df, name: df.groupBy(*keys, kind.alias("outcome")).agg(F.count("*").alias(name))
+    both = count(recorded, "recorded").join(count(scored, "scored"), [*keys, "outcome"], "full_outer").na.fill(0, ["recorded", "scored"])
+    return both.filter("recorded <> scored")
+
+
+class Refused(ValueError):
+    """An input does not allow a verdict; what comes after it was not opened."""
+
+
+def refuse(rows: DataFrame, message: str, shown: int = 3) -> None:
+    """Refuses if there are rows, and shows the first of them."""
+    found = [tuple(r) for r in rows.limit(shown).collect()]
+    if found:
+        raise Refused(f"{message}: {', '.join(' '.join(map(str, r)) for r in found)}")

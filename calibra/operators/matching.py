@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from calibra.functions.geometry import box, iou
 from calibra.functions.scalars import ratio, wilson
+from calibra.operators.ranges import running
 
 MISSED, BACKGROUND = "missed", "background"
 MIN_IOU = 0.5
@@ -125,15 +126,15 @@ def confusion(table: DataFrame) -> DataFrame:
 
 
 def average_precision(gt: DataFrame, pred: DataFrame) -> DataFrame:
-    """AP at MIN_IOU over 101 recalls of each class with true boxes: cls, n_gt, ap.
+    """AP at MIN_IOU over 101 recalls of each class with true boxes: cls, n_gt, ap. Ranks run over ranges, not whole classes.
 
     Predictions of images without boxes count as false. Equal confidences keep the order of image and pred_idx. The
     sample at a recall is the greatest precision at that recall or beyond. Precisions are first cut to the greatest of
     each hundredth of recall, 102 rows a class, before the samples are taken.
     """
     n_gt = gt.groupBy("cls").agg(F.count("*").alias("n_gt"))
-    order = Window.partitionBy("cls").orderBy(F.desc("conf"), "image", "pred_idx")
-    ranked = match(gt, pred, by_class=True).withColumns({"k": F.row_number().over(order), "tp": F.sum(F.col("gt_idx").isNotNull().cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    matched = match(gt, pred, by_class=True).select("cls", "conf", "image", "pred_idx", "gt_idx")
+    ranked = running(matched, ["cls"], [F.desc("conf"), F.col("image"), F.col("pred_idx")], {"k": F.lit(1), "tp": F.col("gt_idx").isNotNull().cast("int")})
     ranked = ranked.join(n_gt, "cls").select("cls", (F.col("tp") / F.col("n_gt")).alias("recall"), (F.col("tp") / F.col("k")).alias("precision"))
     # The last sample that a point reaches: recall >= i / 100.
     at = F.floor(F.col("recall") * 100 + 1e-9)

@@ -1,25 +1,83 @@
-"""Near-duplicate hashes by an exact banded join, and what leaks between splits."""
+"""Near-duplicate hashes by an exact join over bands, and what leaks between splits."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import itertools
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from calibra.functions.scalars import hamming
-
-
-def _bands(words, total: int, bands: int):
-    """The bits of `bands` disjoint bands, each with its number, as one long."""
-    out, begin = [], 0
-    for b in range(bands):
-        end = total * (b + 1) // bands
-        value = F.lit(0).cast("long")
-        for w in range(begin // 32, (end - 1) // 32 + 1):
-            low, high = max(begin, 32 * w) - 32 * w, min(end, 32 * w + 32) - 32 * w
-            part = F.shiftrightunsigned(F.get(words, F.lit(w)), 32 - high).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("long"))
-            value = F.shiftleft(value, high - low).bitwiseOR(part)
-        out.append(((b, end - begin), value))
-        begin = end
+from calibra.operators.ranges import use_checkpoints
+from calibra.operators.sessions import spread
+
+
+#: Look-ups of one hash in all bands, at most. A row looked up costs about as much as this many compared pairs.
+MOST_PROBES, PROBE_COST = 20_000, 3
+
+
+def ball(width: int, radius: int) -> int:
+    """How many values of `width` bits lie within `radius` bits of one."""
+    return sum(math.comb(width, i) for i in range(radius + 1))
+
+
+def band_plan(total_bits: int, max_bits: int, n: int) -> list[tuple[int, int, int]]:
+    """First bit, width and radius of bands such that hashes within max_bits of each other agree in some band to its radius.
+
+    If each band differed in more than its radius, all would differ in at least the sum of radius + 1, which is made
+    max_bits + 1. Fewer, wider bands with greater radii part unlike hashes better and look up more values: of the plans
+    with 1 to max_bits + 1 bands the one with the least expected cost for n random hashes is taken. Of a band that a long
+    does not hold, 62 bits are used: they differ in no more bits than the band.
+    """
+    best = None
+    for bands in range(1, min(max_bits + 1, total_bits) + 1):
+        edges = [total_bits * b // bands for b in range(bands + 1)]
+        plan = [(lo, min(hi - lo, 62), (max_bits + 1) * (b + 1) // bands - (max_bits + 1) * b // bands - 1) for b, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
+        looked_up = [ball(w, r) for _, w, r in plan]
+        if sum(looked_up) > MOST_PROBES and bands <= max_bits:
+            continue
+        cost = PROBE_COST * n * sum(looked_up) + n * n / 2 * sum(v / 2**w for v, (_, w, _) in zip(looked_up, plan, strict=True))
+        if best is None or cost < best[0]:
+            best = cost, plan
+    return best[1]
+
+
+def band_value(words: Column, first: int, width: int) -> Column:
+    """Bits first to first + width of a hash of 32-bit words, as one long."""
+    value = F.lit(0).cast("long")
+    for w in range(first // 32, (first + width - 1) // 32 + 1):
+        low, high = max(first, 32 * w) - 32 * w, min(first + width, 32 * w + 32) - 32 * w
+        part = F.shiftrightunsigned(F.get(words, F.lit(w)), 32 - high).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("long"))
+        value = F.shiftleft(value, high - low).bitwiseOR(part)
+    return value
+
+
+def _masks(width: int, radius: int) -> list[int]:
+    return [sum(1 << i for i in bits) for k in range(radius + 1) for bits in itertools.combinations(range(width), k)]
+
+
+def _plain(kinds: DataFrame, plan: list[tuple[int, int, int]]) -> DataFrame:
+    """k (a band and its bits), a and wa: each hash under its own bits of each band."""
+    keys = F.array(*[F.struct(F.lit(i).alias("b"), band_value(F.col("words"), lo, w).alias("v")) for i, (lo, w, _) in enumerate(plan)])
+    return kinds.select(F.col("rep").alias("a"), F.col("words").alias("wa"), F.explode(keys).alias("k"))
+
+
+def _probing(kinds: DataFrame, plan: list[tuple[int, int, int]]) -> DataFrame:
+    """k, b and wb: each hash under every value within the radius of its bits, band by band."""
+    out = None
+    for i, (lo, w, r) in enumerate(plan):
+        own, band = band_value(F.col("words"), lo, w), F.lit(i)
+        near = F.transform(F.array(*[F.lit(m).cast("long") for m in _masks(w, r)]), lambda m: F.struct(band.alias("b"), own.bitwiseXOR(m).alias("v")))  # noqa: B023
+        one = kinds.select(F.col("rep").alias("b"), F.col("words").alias("wb"), F.explode(near).alias("k"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _first_band(plan: list[tuple[int, int, int]]) -> Column:
+    """The first band in which wa and wb agree to its radius: where a pair that shares several is taken once."""
+    out = F.lit(len(plan))
+    for i, (lo, w, r) in reversed(list(enumerate(plan))):
+        out = F.when(F.bit_count(band_value(F.col("wa"), lo, w).bitwiseXOR(band_value(F.col("wb"), lo, w))) <= r, F.lit(i)).otherwise(out)
     return out
 
 
@@ -29,21 +87,48 @@ def classes(hashes: DataFrame) -> DataFrame:
     return hashes.join(reps, "words").select("id", "rep", "words")
 
 
+def _distance(total_bits: int) -> Column:
+    """Bits in which wa and wb differ, word by word, so that it is compiled into the join."""
+    return sum((F.bit_count(F.get("wa", F.lit(w)).bitwiseXOR(F.get("wb", F.lit(w)))) for w in range(1, -(-total_bits // 32))), F.bit_count(F.get("wa", F.lit(0)).bitwiseXOR(F.get("wb", F.lit(0)))))
+
+
+def _kinds(members: DataFrame) -> DataFrame:
+    return members.filter("id = rep").select("rep", "words").distinct()
+
+
 def hamming_pairs(members: DataFrame, total_bits: int, max_bits: int) -> DataFrame:
     """All pairs of distinct hashes of classes() that differ in at most max_bits bits: a < b, dist; equal ones are members.
 
-    With max_bits + 1 bands some band agrees. Where such bands would be under ten bits wide and the hash is long, half
-    as many are used, of which one differs in at most one bit, and one side looks up every such variant.
+    An index over several bands: the one side stands under its own bits of each, the other is looked up under every value
+    within the band's radius. band_plan chooses the bands by the number of hashes. Each pair comes once.
+    """
+    kinds = _kinds(members)
+    plan = band_plan(total_bits, max_bits, kinds.count())
+    met = _plain(kinds, plan).join(_probing(kinds, plan), "k")
+    dist = _distance(total_bits).cast("long")
+    return met.filter((F.col("a") < F.col("b")) & (dist <= max_bits) & (F.col("k.b") == _first_band(plan))).select("a", "b", dist.alias("dist"))
+
+
+def hamming_links(members: DataFrame, total_bits: int, max_bits: int) -> DataFrame:
+    """Links a, b between ids whose components are those of all pairs within max_bits bits, equal hashes included.
+
+    In a group of thousands of near hashes not all pairs are made: those under one value of a band first meet the least
+    of them, and only values under which several components are left have their other pairs compared, between components.
     """
-    kinds = members.filter("id = rep").select("rep", "words").distinct()
-    probe = total_bits // (max_bits + 1) < 10 and total_bits >= 128
-    found = _bands(F.col("words"), total_bits, max_bits // 2 + 1 if probe else max_bits + 1)
-    key = lambda b, v: F.struct(F.lit(b).alias("b"), v.alias("v"))
-    plain = F.array(*[key(b, v) for (b, _), v in found])
-    varied = F.array(*[key(b, x) for (b, n), v in found for x in [v, *(v.bitwiseXOR(F.lit(1 << i).cast("long")) for i in range(n))]]) if probe else plain
-    left = kinds.select(F.col("rep").alias("a"), F.col("words").alias("wa"), F.explode(plain).alias("k"))
-    right = kinds.select(F.col("rep").alias("b"), F.col("words").alias("wb"), F.explode(varied).alias("k"))
-    return left.join(right, "k").filter("a < b").withColumn("dist", hamming(F.col("wa"), F.col("wb")).cast("long")).filter(F.col("dist") <= max_bits).select("a", "b", "dist").distinct()
+    kinds = _kinds(members)
+    use_checkpoints(members.sparkSession)
+    plan = band_plan(total_bits, max_bits, kinds.count())
+    copies = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    plain, probing = _plain(kinds, plan), _probing(kinds, plan)
+    near = lambda met: met.filter((F.col("a") != F.col("b")) & (_distance(total_bits) <= max_bits))
+    heads = plain.groupBy("k").agg(F.min_by(F.struct("a", "wa"), "a").alias("h")).select("k", "h.a", "h.wa")
+    first = near(heads.join(probing, "k")).select("a", "b").distinct().checkpoint()
+    labels = spread(first).withColumnRenamed("id_", "_id")
+    of = lambda df, c: df.join(labels, df[c] == labels["_id"], "left").withColumn(f"c{c}", F.coalesce("label", c)).drop("_id", "label")
+    plain, probing = of(plain, "a"), of(probing, "b")
+    several = plain.select("k", F.col("ca").alias("c")).union(probing.select("k", "cb")).groupBy("k").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most").select("k")
+    left = plain.join(several, "k", "left_semi").join(probing, "k").filter("ca <> cb")
+    return first.unionByName(near(left).select("a", "b").distinct()).unionByName(copies)
 
 
 def _counts(members: DataFrame, splits: DataFrame) -> DataFrame:

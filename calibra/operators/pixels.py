@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from calibra.operators.batches import pictures_of
+
 #: Fixed values of the CIELAB definition: white point D65, the two bounds, and the sRGB primaries.
 WHITE = np.array([0.95047, 1.0, 1.08883])
 EPS, KAPPA = 216 / 24389, 24389 / 27
@@ -112,11 +114,19 @@ ARMS = {
 }
 
 
-def apply_arm(rgb: np.ndarray, box, boxes, arm: str, targets: dict[str, tuple[float, float]]) -> tuple[np.ndarray, float]:
-    """A picture in which an arm's pixels have its target's (a, b), whatever colour they had; and the share that was clipped."""
-    kind, colour = ARMS[arm]
-    mask = ring(rgb.shape[:2], box, boxes) & (rgb.max(axis=-1) > 0) if kind == "ring" else outside(rgb, boxes)
-    return recolour(rgb, mask, targets[colour] if colour else None)
+def masked_by(kind: str, rgb: np.ndarray, box, boxes) -> np.ndarray:
+    """The pixels that a kind of arm changes: those around a box that are not black, or all outside the boxes."""
+    if kind == "whole":
+        return outside(rgb, boxes)
+    return ring(rgb.shape[:2], box, boxes) & (rgb.max(axis=-1) > 0)
+
+
+def arm_pictures(rgb: np.ndarray, box, boxes, arms: list[str], targets: dict[str, tuple[float, float]]) -> Iterator[tuple[str, np.ndarray, float]]:
+    """Each arm with its altered picture and the share of changed pixels that was clipped. Arms with one mask share it."""
+    masks = {kind: masked_by(kind, rgb, box, boxes) for kind in sorted({ARMS[a][0] for a in arms})}
+    for arm in arms:
+        kind, colour = ARMS[arm]
+        yield arm, *recolour(rgb, masks[kind], None if colour is None else targets[colour])
 
 
 MEASURES = "image string, box int, ring_pixels int, ring_a double, ring_b double, plate_chroma double"
@@ -130,57 +140,59 @@ def measure(pictures: DataFrame, target: Callable[[str], bool] | None = None) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for image, rgb, other in pictures_of(batches):
             out = []
-            for row in batch.to_pylist():
-                rgb = np.frombuffer(row["data"], np.uint8)
-                if len(rgb) != 3 * row["width"] * row["height"]:
-                    raise ValueError(f"{row['image']} is not {row['width']} x {row['height']}")
-                rgb = rgb.reshape(row["height"], row["width"], 3)
-                lab, shown = to_lab(rgb), rgb.max(axis=-1) > 0
-                boxes = [(b["x"], b["y"], b["w"], b["h"]) for b in row["boxes"]]
-                for i, b in enumerate(row["boxes"]):
-                    if target is None or target(b["cls"]):
-                        around, middle = ring(rgb.shape[:2], boxes[i], boxes) & shown, core(rgb.shape[:2], boxes[i])
-                        n = int(around.sum())
-                        a, bb = np.median(lab[around][:, 1:], axis=0) if n >= RING_PIXELS else (None, None)
-                        chroma = float(np.median(np.hypot(lab[middle][:, 1], lab[middle][:, 2]))) if middle.any() else None
-                        out.append((row["image"], i, n, None if a is None else float(a), None if bb is None else float(bb), chroma))
+            lab, shown = to_lab(rgb), rgb.max(axis=-1) > 0
+            boxes = [(b["x"], b["y"], b["w"], b["h"]) for b in other["boxes"]]
+            for i, b in enumerate(other["boxes"]):
+                if target is None or target(b["cls"]):
+                    around, middle = ring(rgb.shape[:2], boxes[i], boxes) & shown, core(rgb.shape[:2], boxes[i])
+                    n = int(around.sum())
+                    a, bb = np.median(lab[around][:, 1:], axis=0) if n >= RING_PIXELS else (None, None)
+                    chroma = float(np.median(np.hypot(lab[middle][:, 1], lab[middle][:, 2]))) if middle.any() else None
+                    out.append((image, i, n, None if a is None else float(a), None if bb is None else float(bb), chroma))
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], [f.split()[0] for f in MEASURES.split(", ")])
 
     return pictures.select("image", "width", "height", "data", "boxes").mapInArrow(run, MEASURES)
 
 
-def predict(pictures: DataFrame, model: Callable[[np.ndarray], list[tuple]], schema: str = "image string, cls string, conf double, x double, y double, w double, h double") -> DataFrame:
-    """Detections of a model that the caller gives: a function from pixels to (cls, conf, x, y, w, h)."""
+#: Finds objects: from pixels to (cls, conf, x, y, w, h) each.
+Model = Callable[[np.ndarray], list[tuple]]
+DETECTIONS = "image string, pred_idx long, cls string, conf double, x double, y double, w double, h double"
+
+
+def _detections(found: list[tuple]) -> list[pa.Array]:
+    return [pa.array(range(len(found)), pa.int64()), *(pa.array([d[k] for d in found], pa.string() if k == 0 else pa.float64()) for k in range(6))]
+
+
+def predict(pictures: DataFrame, model: Model) -> DataFrame:
+    """Detections of a model that the caller gives, numbered within each picture."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(r["image"], *d) for r in batch.to_pylist() for d in model(np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], 3))]
-            names = [f.split()[0] for f in schema.split(", ")]
-            yield pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in rows], pa.string() if k < 2 else pa.float64()) for k, n in enumerate([names[0], names[1], *names[2:]])})
+        for image, rgb, _ in pictures_of(batches):
+            found = model(rgb)
+            yield pa.RecordBatch.from_arrays([pa.array([image] * len(found), pa.string()), *_detections(found)], [f.split()[0] for f in DETECTIONS.split(", ")])
 
-    return pictures.mapInArrow(run, schema)
+    return pictures.select("image", "width", "height", "data").mapInArrow(run, DETECTIONS)
 
 
-def perceptual_hash(pictures: DataFrame, side: int = 16) -> DataFrame:
-    """image and a hash of side squared bits as hex: signs against the median of the low cosine frequencies of a grey picture of 4 * side a side."""
-    n = 4 * side
-    k, x = np.arange(side)[:, None], np.arange(n)[None, :]
-    cosine = np.cos(np.pi * k * (2 * x + 1) / (2 * n))
+def predict_arms(pictures: DataFrame, targets: dict[str, tuple[float, float]], model: Model) -> DataFrame:
+    """Detections on each picture as each of its arms alters it: arm, clipped and the columns of predict().
+
+    pictures has image, width, height, data, boxes, target (the place of the box that the arms are about) and arms (names
+    of ARMS). A picture is decoded once and its altered forms are made, read and dropped one after the other; none is
+    stored. Each arm has a row without a class too, pred_idx -1, so that arms without a detection keep their clipped share.
+    """
+    names = ["arm", "clipped", *(f.split()[0] for f in DETECTIONS.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                rgb = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], 3).astype(float)
-                grey = rgb @ np.array([0.299, 0.587, 0.114])
-                rows = [grey[a : max(a + 1, b)].mean(axis=0) for a, b in zip(np.arange(n) * len(grey) // n, (np.arange(n) + 1) * len(grey) // n, strict=True)]
-                small = np.array(rows).T
-                small = np.array([small[a : max(a + 1, b)].mean(axis=0) for a, b in zip(np.arange(n) * len(small) // n, (np.arange(n) + 1) * len(small) // n, strict=True)]).T
-                low = cosine @ small @ cosine.T
-                out.append(np.packbits((low > np.median(low)).ravel()).tobytes().hex())
-            yield pa.RecordBatch.from_arrays([batch.column("image"), pa.array(out)], ["image", "phash"])
-
-    return pictures.select("image", "width", "height", "data").mapInArrow(run, "image string, phash string")
+        for image, rgb, other in pictures_of(batches):
+            boxes = [(b["x"], b["y"], b["w"], b["h"]) for b in other["boxes"]]
+            for arm, altered, clipped in arm_pictures(rgb, boxes[other["target"]], boxes, other["arms"], targets):
+                found = model(altered)
+                columns = [pa.concat_arrays([pa.array([v], c.type), c]) for v, c in zip((-1, None, 0.0, 0.0, 0.0, 0.0, 0.0), _detections(found), strict=True)]
+                n = len(found) + 1
+                yield pa.RecordBatch.from_arrays([pa.array([arm] * n), pa.array([clipped] * n), pa.array([image] * n), *columns], names)
+
+    return pictures.select("image", "width", "height", "data", "boxes", "target", "arms").mapInArrow(run, f"arm string, clipped double, {DETECTIONS}")

@@ -5,8 +5,13 @@ Each rule is a CASE expression over named numbers, in the order in which it is w
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values of the rules.
 MIN_BOXES, MIN_IMAGES = 15, 6
@@ -76,18 +81,32 @@ def run_decision(m_c: Column, k_c: Column, m_a: Column, k_a: Column, p: Column,
     )
 
 
-def flatten(configs: DataFrame) -> DataFrame:
-    """configs(run, config as JSON) by dotted path: run, path, value as JSON. Arrays are values."""
-    rows = configs.select("run", F.lit("").alias("path"), F.col("config").alias("value"))
-    done = None
-    while True:
-        is_object = F.ltrim("value").startswith("{")
-        flat = rows.filter(~is_object | (F.json_object_keys("value").isNotNull() & (F.size(F.json_object_keys("value")) == 0)))
-        done = flat if done is None else done.unionByName(flat)
-        rows = rows.filter(is_object).select("run", "path", F.explode(F.from_json("value", "map<string,string>")).alias("k", "value"))
-        rows = rows.select("run", F.when(F.col("path") == "", F.col("k")).otherwise(F.concat_ws(".", "path", "k")).alias("path"), F.coalesce("value", F.lit("null")).alias("value"))
-        if rows.isEmpty():
-            return done
+def flatten(configs: DataFrame, *keys: str) -> DataFrame:
+    """configs(keys or run, config as JSON) by dotted path: keys, path, value as JSON. Arrays are values, and so are empty objects.
+
+    A configuration is opened once and walked in one pass, in Arrow batches; nested levels make no jobs of their own.
+    """
+    keys = keys or ("run",)
+
+    def leaves(batches):
+        for batch in batches:
+            out = [(i, *leaf) for i, text in enumerate(batch.column("config").to_pylist()) for leaf in _leaves("", json.loads(text))]
+            rows = pa.array([r[0] for r in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in keys), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.string())], [*keys, "path", "value"])
+
+    kinds = {f.name: f.dataType for f in configs.schema}
+    schema = T.StructType([T.StructField(k, kinds[k]) for k in keys] + [T.StructField("path", T.StringType()), T.StructField("value", T.StringType())])
+    return configs.select(*keys, "config").filter(F.col("config").isNotNull()).mapInArrow(leaves, schema)
+
+
+def _leaves(path: str, value) -> Iterator[tuple[str, str]]:
+    """Paths and values of what is not an object; text as it is, anything else as JSON."""
+    if isinstance(value, dict) and value:
+        for k, v in value.items():
+            yield from _leaves(f"{path}.{k}" if path else k, v)
+    else:
+        whole = isinstance(value, float) and value.is_integer()  # 1.0 is 1
+        yield path, value if isinstance(value, str) else json.dumps(int(value) if whole else value, separators=(",", ":"))
 
 
 def config_diff(one: DataFrame, other: DataFrame, allowed: list[str], by_name: list[str]) -> DataFrame:

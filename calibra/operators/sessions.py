@@ -2,39 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
+import json
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from calibra.operators.ranges import SLICE, numbered, sliced, use_checkpoints
+
 GAP_MINUTES = 5
 
 
-def sessionize(rows: DataFrame, gap_minutes: int = GAP_MINUTES, slices: int = 16) -> DataFrame:
+def sessionize(rows: DataFrame, gap_minutes: int = GAP_MINUTES, slices: int | None = None) -> DataFrame:
     """rows(id, ts) with session, numbered from 1 by time; a gap of more than gap_minutes begins a new one.
 
-    The timeline is cut at quantiles into slices that are sessionized on their own; a slice's numbers then go on from
-    those before it, which takes the slices' ends alone: at most `slices` rows meet.
+    The timeline is dealt to ranges that are sessionized on their own; a range's numbers then go on from those before it,
+    which takes the ranges' ends alone: a row for each range meets in one task.
     """
-    seconds = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = rows.withColumn("_at", seconds)
-    bounds = rows.agg(F.percentile_approx("_at", [i / slices for i in range(1, slices)], 10_000).alias("b")).first()["b"] or []
-    bounds = sorted(set(bounds))
-    cut = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("_at"))) if bounds else F.lit(0)
-    rows = rows.withColumn("_slice", cut)
-    local = Window.partitionBy("_slice").orderBy("_at", "id")
+    rows = sliced(rows.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp"))), [], [F.col("_at"), F.col("id")], slices)
+    local = Window.partitionBy(SLICE).orderBy("_at", "id")
     wide = gap_minutes * 60_000_000
     rows = rows.withColumn("_new", (F.col("_at") - F.lag("_at").over(local) > wide).cast("long"))
     rows = rows.withColumn("_n", F.sum(F.coalesce("_new", F.lit(0))).over(local.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = rows.groupBy("_slice").agg(F.min("_at").alias("first"), F.max("_at").alias("last"), F.max("_n").alias("n"))
-    over = Window.orderBy("_slice")
+    ends = rows.groupBy(SLICE).agg(F.min("_at").alias("first"), F.max("_at").alias("last"), F.max("_n").alias("n"))
+    over = Window.orderBy(SLICE)
     ends = ends.withColumn("begins", F.coalesce((F.col("first") - F.lag("last").over(over) > wide).cast("long"), F.lit(1)))
     upto = over.rowsBetween(Window.unboundedPreceding, -1)
-    base = ends.select("_slice", (F.coalesce(F.sum("n").over(upto), F.lit(0)) + F.sum("begins").over(over.rowsBetween(Window.unboundedPreceding, 0))).alias("_base"))
-    # A row for each slice, of which there are `slices` at most.
-    return rows.join(F.broadcast(base), "_slice").withColumn("session", (F.col("_n") + F.col("_base")).cast("long")).drop("_at", "_slice", "_new", "_n", "_base")
+    base = ends.select(SLICE, (F.coalesce(F.sum("n").over(upto), F.lit(0)) + F.sum("begins").over(over.rowsBetween(Window.unboundedPreceding, 0))).alias("_base"))
+    # A row for each range.
+    return rows.join(F.broadcast(base), SLICE).withColumn("session", (F.col("_n") + F.col("_base")).cast("long")).drop("_at", SLICE, "_new", "_n", "_base")
 
 
 def merge_sessions(rows: DataFrame, near: DataFrame) -> DataFrame:
@@ -48,21 +45,13 @@ def merge_sessions(rows: DataFrame, near: DataFrame) -> DataFrame:
     labels = spread(links)
     named = rows.join(labels, rows["session"] == labels["id_"], "left").withColumn("_s", F.coalesce("label", "session")).drop("id_", "label")
     starts = named.groupBy("_s").agg(F.min("ts").alias("_from"))
-    # One row for each merged session meets in one task to be numbered.
-    numbered = starts.select("_s", F.row_number().over(Window.orderBy("_from", "_s")).cast("long").alias("_number"))
-    return named.join(numbered, "_s").withColumn("session", F.col("_number")).drop("_s", "_number")
+    places = numbered(starts, [], [F.col("_from"), F.col("_s")], "_number", 1).select("_s", "_number")
+    return named.join(places, "_s").withColumn("session", F.col("_number")).drop("_s", "_number")
 
 
 def spread(links: DataFrame) -> DataFrame:
     """id_ and label, the least id reachable over links(a, b); each round is checkpointed in the shared folder."""
-    spark = links.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            if not spark.sparkContext.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            where = tempfile.mkdtemp(prefix="calibra-")
-        spark.sparkContext.setCheckpointDir(where)
+    use_checkpoints(links.sparkSession)
     both = links.select("a", "b").union(links.select("b", "a")).distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("id_")).agg(F.least(F.col("a"), F.min("b")).alias("label")).checkpoint()
     while True:
@@ -109,39 +98,77 @@ def test_dates(rows: DataFrame, classes: list[str], share=TEST_SHARE, aim=TEST_A
     return best.filter(found).select("b.dates", "b.images", "b.gap")
 
 
+#: Trials that one task makes from a stored state of the generator.
+TRIALS = 50
+
+
+def permutation_states(n: int, trials: int, seed: int, block: int = TRIALS) -> list[tuple[int, int, str]]:
+    """The first trial, the number of trials and the generator's state for each block of numpy's seeded permutations of n."""
+    rng, out = np.random.default_rng(seed), []
+    for first in range(0, trials, block):
+        out.append((first, min(block, trials - first), json.dumps(rng.bit_generator.state)))
+        if first + block < trials:
+            for _ in range(block):
+                rng.permutation(n)
+    return out
+
+
+def permuted(spark, n: int, trials: int, seed: int, begin: int, end: int, block: int = TRIALS) -> DataFrame:
+    """trial, rank and place for the ranks from begin to end of each trial's permutation of n places."""
+
+    def run(batches):
+        for batch in batches:
+            for first, many, state in zip(*(batch.column(c).to_pylist() for c in ("first", "many", "state")), strict=True):
+                rng = np.random.default_rng()
+                rng.bit_generator.state = json.loads(state)
+                for t in range(first, first + many):
+                    places = rng.permutation(n)[begin:end]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(places), t)), pa.array(np.arange(begin, begin + len(places))), pa.array(places)], ["trial", "rank", "place"])
+
+    blocks = spark.createDataFrame(permutation_states(n, trials, seed, block), "first long, many long, state string")
+    return blocks.repartition(max(1, -(-trials // block)), "first").mapInArrow(run, "trial long, rank long, place long")
+
+
+def filled(drawn: DataFrame, sizes: DataFrame, low: float, high: float) -> DataFrame:
+    """trial, total and the places taken: in the order of rank, each one that keeps the total within high, until it reaches low."""
+    by_trial = drawn.join(sizes, "place").groupBy("trial").agg(F.sort_array(F.collect_list(F.struct("rank", "place", "images"))).alias("order"))
+
+    def step(acc, s):
+        fits = (acc["total"] < low) & (acc["total"] + s["images"] <= high)
+        return F.struct(F.when(fits, acc["total"] + s["images"]).otherwise(acc["total"]).alias("total"), F.when(fits, F.concat(acc["taken"], F.array(s["place"]))).otherwise(acc["taken"]).alias("taken"))
+
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<long>").alias("taken"))
+    return by_trial.select("trial", F.aggregate("order", start, step).alias("f")).select("trial", "f.total", "f.taken")
+
+
 def val_sessions(pool: DataFrame, classes: list[str], n: int, share=VAL_SHARE, trials=VAL_TRIALS, seed=VAL_SEED) -> DataFrame:
     """Sessions for the validation part: the seeded fill with the best least-covered class, the first of equals.
 
-    pool has id, session, ts, classes. A row for each session reaches every trial; the trials are dealt to tasks. The
-    permutations come from numpy's generator, so they are made in order in each task up to its own trials. Where no
-    trial has a share in the range, it is an error.
+    pool has id, session, ts, classes. Sessions are numbered by first moment, and each trial's permutation of these places
+    joins their sizes; permutations are made in blocks from stored states of numpy's generator. As a fill ends early, a
+    quarter of the ranks is tried first, and the whole order only where trials have not ended by then. Where no trial
+    has a share in the range, it is an error.
     """
     per = [F.count_if(F.array_contains("classes", c)).alias(f"c{i}") for i, c in enumerate(classes)]
-    sessions = pool.groupBy("session").agg(F.min("ts").alias("first"), F.count("*").alias("images"), *per).orderBy("first", "session").collect()
-    ids, sizes = [r["session"] for r in sessions], np.array([r["images"] for r in sessions])
-    cover = np.array([[r[f"c{i}"] for i in range(len(classes))] for r in sessions]).reshape(len(ids), len(classes))
-    low, high = share[0] * n, share[1] * n
-
-    def run(batches):
-        rng, at = np.random.default_rng(seed), 0
-        for batch in batches:
-            for t in batch.column("id").to_pylist():
-                while at <= t:
-                    order, at = rng.permutation(len(ids)), at + 1
-                taken, total = [], 0
-                for p in order:
-                    if total + sizes[p] <= high:
-                        taken.append(p)
-                        total += sizes[p]
-                    if total >= low:
-                        break
-                if low <= total <= high:
-                    yield pa.RecordBatch.from_pydict({"trial": [t], "score": [int(cover[taken].sum(axis=0).min())], "sessions": [sorted(ids[p] for p in taken)]})
-
-    tried = pool.sparkSession.range(0, trials, 1, 4).mapInArrow(run, "trial long, score long, sessions array<long>")
-    best = tried.agg(F.max_by(F.struct("trial", "score", "sessions"), F.struct("score", -F.col("trial"))).alias("b"))
+    sessions = pool.groupBy("session").agg(F.min("ts").alias("first"), F.count("*").alias("images"), *per)
+    sessions = numbered(sessions, [], [F.col("first"), F.col("session")], "place")
+    spark, places, low, high = pool.sparkSession, sessions.count(), share[0] * n, share[1] * n
+    sizes = sessions.select("place", "images")
+    quarter = min(places, max(64, places // 4))
+    use_checkpoints(spark)
+    tried = filled(permuted(spark, places, trials, seed, 0, quarter), sizes, low, high).checkpoint()
+    if quarter < places:
+        rest = tried.filter(F.col("total") < low).select("trial")
+        if not rest.isEmpty():
+            again = permuted(spark, places, trials, seed, 0, places).join(F.broadcast(rest), "trial")  # `trials` rows at most
+            tried = tried.filter(F.col("total") >= low).unionByName(filled(again, sizes, low, high))
+    good = tried.filter(F.col("total").between(low, high)).select("trial", F.explode("taken").alias("place")).join(sessions, "place")
+    scores = good.groupBy("trial").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(classes))])
+    score = F.array_min(F.array(*[f"c{i}" for i in range(len(classes))]))
+    best = scores.select("trial", score.alias("score")).agg(F.max_by(F.struct("trial", "score"), F.struct("score", -F.col("trial"))).alias("b"))
     found = F.when(F.col("b").isNull(), F.raise_error(F.lit("no trial reaches the share of the validation part")).cast("boolean")).otherwise(F.lit(True))
-    return best.filter(found).select("b.trial", "b.score", F.explode("b.sessions").alias("session"))
+    best = best.filter(found).select("b.trial", "b.score")
+    return best.join(good.select(F.col("trial").alias("_t"), "session"), F.col("trial") == F.col("_t")).select("trial", "score", "session")
 
 
 def assign(rows: DataFrame, dates: DataFrame, val: DataFrame) -> DataFrame:

@@ -7,28 +7,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from calibra.functions.scalars import wilson
+from calibra.operators.ranges import SLICE, numbered, sliced
 
 
 def auc(rows: DataFrame, positive: str, negative: str, by: list[str] | None = None) -> DataFrame:
     """The chance that a positive value is above a negative one, half for equals; NaN without either. rows: grp, value.
 
-    Equal values are counted first; each distinct value's negatives below it come from a running count.
+    Equal values are counted first, and the distinct values are cut into ranges. Within a range each value is held
+    against the negatives below it there; the negatives of the ranges below are added as a whole.
     """
     by = by or []
     counts = rows.groupBy(*by, "value").agg(F.count_if(F.col("grp") == positive).alias("p"), F.count_if(F.col("grp") == negative).alias("q")).filter("p + q > 0")
-    return _auc_of_counts(counts, by)
+    return _auc_of_counts(sliced(counts, [], [F.col("value")]), by)
 
 
 def _auc_of_counts(counts: DataFrame, by: list[str]) -> DataFrame:
-    below = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    """AUC from counts p and q of distinct values in ranges, SLICE. A key has one row for each range in the last window."""
+    below = Window.partitionBy(*by, SLICE).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("below", F.coalesce(F.sum("q").over(below), F.lit(0)))
-    wins = F.sum(F.col("p") * (F.col("below") + F.col("q") / F.lit(2.0)))
+    parts = counts.groupBy(*by, SLICE).agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.sum(F.col("p") * (F.col("below") + F.col("q") / F.lit(2.0))).alias("wins"))
+    lower = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("lower", F.coalesce(F.sum("q").over(lower), F.lit(0)))
+    wins = F.sum(F.col("wins") + F.col("p") * F.col("lower"))
     pairs = F.coalesce(F.sum("p").cast("double") * F.sum("q"), F.lit(0.0))
-    return counts.groupBy(*by).agg(F.when(pairs > 0, wins / F.when(pairs > 0, pairs).otherwise(1)).otherwise(F.lit(float("nan"))).alias("auc"), F.coalesce(F.sum("p"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("q"), F.lit(0)).alias("n_neg"))
+    return parts.groupBy(*by).agg(F.when(pairs > 0, wins / F.when(pairs > 0, pairs).otherwise(1)).otherwise(F.lit(float("nan"))).alias("auc"), F.coalesce(F.sum("p"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("q"), F.lit(0)).alias("n_neg"))
 
 
 def within_groups(rows: DataFrame, positive: str, negative: str, cluster: str) -> DataFrame:
@@ -47,32 +53,61 @@ def group_sizes(rows: DataFrame, cluster: str) -> DataFrame:
     return rows.groupBy("grp").agg(F.count("value").alias("boxes"), F.count_distinct(F.when(F.col("value").isNotNull(), F.col(cluster))).alias("images"), F.count_if(F.col("value").isNull()).alias("unmeasurable"))
 
 
-def draws(clusters: int, reps: int, seed: int) -> Iterator[list[int]]:
-    """Resamples of cluster places by CPython's generator, the same for the same seed."""
-    rng, places = random.Random(seed), list(range(clusters))
-    for _ in range(reps):
-        yield rng.choices(places, k=clusters)
+#: Draws that one task makes from a stored state of the generator.
+DRAWS = 1 << 20
 
 
-def bootstrap_auc(rows: DataFrame, positive: str, negative: str, cluster: str, reps: int, seed: int, tasks: int = 8) -> DataFrame:
+def generator_blocks(seed: int, draws: int, block: int) -> Iterator[tuple[int, int, bytes]]:
+    """The first draw, the number of draws and the generator's state for each block of CPython's random.Random(seed).
+
+    One pass goes over the draws, without keeping any, and numpy's generator takes CPython's state as it is.
+    """
+    state = random.Random(seed).getstate()[1]
+    rng = np.random.RandomState()
+    rng.set_state(("MT19937", np.array(state[:-1], np.uint32), state[-1]))
+    for first in range(0, draws, block):
+        _, keys, place, *_ = rng.get_state()
+        n = min(block, draws - first)
+        yield first, n, np.append(keys, np.uint32(place)).astype("<u4").tobytes()
+        if first + n < draws:
+            rng.random_sample(n)
+
+
+def drawn_places(state: bytes, n: int, clusters: int) -> np.ndarray:
+    """n places of clusters from a stored state, as random.choices draws them."""
+    words = np.frombuffer(state, "<u4")
+    rng = np.random.RandomState()
+    rng.set_state(("MT19937", words[:-1], int(words[-1])))
+    return np.floor(rng.random_sample(n) * float(clusters)).astype(np.int64)
+
+
+def resamples(spark: SparkSession, clusters: int, reps: int, seed: int, block: int = DRAWS) -> DataFrame:
+    """rep, place and times: how often each resample draws each place. A resample may come in several blocks, whose times add up."""
+    blocks = spark.createDataFrame(list(generator_blocks(seed, clusters * reps, block)), "first long, n long, state binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, n, state in zip(*(batch.column(c).to_pylist() for c in ("first", "n", "state")), strict=True):
+                at = first + np.arange(n)
+                both, times = np.unique((at // clusters) * clusters + drawn_places(state, n, clusters), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(both // clusters), pa.array(both % clusters), pa.array(times)], ["rep", "place", "times"])
+
+    return blocks.repartition(max(1, -(-clusters * reps // block)), "first").mapInArrow(run, "rep long, place long, times long")
+
+
+def bootstrap_auc(rows: DataFrame, positive: str, negative: str, cluster: str, reps: int, seed: int) -> DataFrame:
     """The 95 % interval of the AUC under resampling of whole clusters: low, high, used, skipped (a side was empty).
 
-    How often each resample draws each cluster is a table; it joins the clusters' counts of each value, and the AUC is
-    taken by resample. Each task repeats the generator up to its own resamples.
+    How often each resample draws each cluster is a table, made in blocks from stored states of the generator; it joins
+    the clusters' counts of each value by the clusters' places, and the AUC is taken by resample over ranges of values.
     """
     values = rows.filter(F.col("grp").isin(positive, negative)).groupBy(cluster, "value").agg(F.count_if(F.col("grp") == positive).alias("p"), F.count_if(F.col("grp") == negative).alias("q"))
-    places = values.select(cluster).distinct().withColumn("place", F.row_number().over(Window.orderBy(cluster)) - 1)
+    values = sliced(values, [], [F.col("value")])
+    places = numbered(values.select(cluster).distinct(), [], [F.col(cluster)], "place").withColumnRenamed(cluster, "_cluster")
     n = places.count()
-
-    def run(batches):
-        wanted = {t for b in batches for t in b.column("id").to_pylist()}
-        for t, drawn in enumerate(draws(n, reps, seed)) if n and wanted else ():
-            if t in wanted:
-                place, times = np.unique(drawn, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([t] * len(place), pa.int64()), pa.array(place, pa.int64()), pa.array(times, pa.int64())], ["rep", "place", "times"])
-
-    drawn = rows.sparkSession.range(0, reps, 1, tasks).mapInArrow(run, "rep long, place long, times long")
-    counts = drawn.join(places, "place").join(values, cluster).groupBy("rep", "value").agg(F.sum(F.col("times") * F.col("p")).alias("p"), F.sum(F.col("times") * F.col("q")).alias("q"))
+    placed = values.join(places, values[cluster].eqNullSafe(places["_cluster"])).select("place", SLICE, "value", "p", "q")
+    drawn = resamples(rows.sparkSession, n, reps, seed)
+    counts = drawn.join(placed, "place").groupBy("rep", SLICE, "value").agg(F.sum(F.col("times") * F.col("p")).alias("p"), F.sum(F.col("times") * F.col("q")).alias("q"))
     found = _auc_of_counts(counts, ["rep"])
     q = lambda p: F.percentile("auc", F.lit(p))
     found = found.filter(~F.isnan("auc")).agg(q(0.025).alias("low"), q(0.975).alias("high"), F.count("auc").alias("used"))

@@ -165,10 +165,11 @@ def confusion_verdict(spark, sf):
     return R.confusion_verdict(test, val, _SUSPECTS, _CONTROLS)
 
 
-_AP = with_(**_part()) + ", " + _walk("m", "gt", "pred", keys="image, cls") + """,
+_AP_BODY = _walk("m", "gt", "pred", keys="image, cls") + """,
   r AS (SELECT cls, count(*) FILTER (took IS NOT NULL) OVER w AS tp, row_number() OVER w AS k FROM m WINDOW w AS (PARTITION BY cls ORDER BY conf DESC, image, pred_idx ROWS UNBOUNDED PRECEDING)),
   ng AS (SELECT cls, count(*)::BIGINT AS n_gt FROM gt GROUP BY cls), pr AS (SELECT r.cls, tp / n_gt AS rec, tp / k AS prec FROM r JOIN ng USING (cls)),
   ap AS (SELECT ng.cls, n_gt, avg(coalesce((SELECT max(prec) FROM pr WHERE pr.cls = ng.cls AND rec >= i / 100.0::DOUBLE), 0)) AS ap FROM ng, range(101) g(i) GROUP BY ng.cls, n_gt)"""
+_AP = with_(**_part()) + ", " + _AP_BODY
 
 
 @query(_AP + " SELECT cls, n_gt, round(ap, 6) AS ap FROM ap")
@@ -222,11 +223,12 @@ def _scores(spark, sf, pred):
     return ap.select(F.col("cls").alias("name"), F.col("ap").alias("score")).unionByName(M.mean_average_precision(ap).select(F.lit("map").alias("name"), F.col("map").alias("score")))
 
 
-_GUARDS = _AP + ", preda AS (" + fx.duck(f"SELECT * FROM ({fx.PRED_A}) p WHERE image IN (SELECT o_orderkey FROM {{orders}} WHERE o_orderkey % 5 = 1)") + "), " + _walk("a", "gt", "preda", keys="image, cls") + """,
+_GUARD_BODY = _walk("a", "gt", "preda", keys="image, cls") + """,
   ra AS (SELECT cls, count(*) FILTER (took IS NOT NULL) OVER w AS tp, row_number() OVER w AS k FROM a WINDOW w AS (PARTITION BY cls ORDER BY conf DESC, image, pred_idx ROWS UNBOUNDED PRECEDING)), pa AS (SELECT ra.cls, tp / n_gt AS rec, tp / k AS prec FROM ra JOIN ng USING (cls)),
   apa AS (SELECT ng.cls, avg(coalesce((SELECT max(prec) FROM pa WHERE pa.cls = ng.cls AND rec >= i / 100.0::DOUBLE), 0)) AS ap FROM ng, range(101) g(i) GROUP BY ng.cls),
   gr AS (SELECT cls AS name, ap.ap AS before, apa.ap AS after, ap.ap - apa.ap <= 0.05 + 1e-9 AS ok FROM ap JOIN apa USING (cls) WHERE cls NOT IN ('k00', 'k01')
     UNION ALL SELECT 'map', x, y, y >= x - 0.02 - 1e-9 FROM (SELECT avg(ap) AS x FROM ap), (SELECT avg(ap) AS y FROM apa))"""
+_GUARDS = _AP + ", preda AS (" + fx.duck(f"SELECT * FROM ({fx.PRED_A}) p WHERE image IN (SELECT o_orderkey FROM {{orders}} WHERE o_orderkey % 5 = 1)") + "), " + _GUARD_BODY
 
 
 @query(_GUARDS + " SELECT name, round(before, 6) AS before, round(after, 6) AS after, ok FROM gr")
@@ -290,10 +292,17 @@ def class_coverage(spark, sf):
     return rows.groupBy("cls", "split").agg(F.count("*").alias("images"), F.sum("n").alias("boxes"))
 
 
+def _signs(spark, sf):
+    return spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), S.sign_words(F.col("embedding"), 2).alias("words"), F.concat(F.lit("s"), (F.col("label") % 3).cast("string")).alias("split"))
+
+
+def _members(spark, sf):
+    return N.classes(_signs(spark, sf).select("id", "words"))
+
+
 def _hashes(spark, sf):
-    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), S.sign_words(F.col("embedding"), 2).alias("words"), F.concat(F.lit("s"), (F.col("label") % 3).cast("string")).alias("split"))
-    members = N.classes(rows.select("id", "words"))
-    return members, N.hamming_pairs(members, 64, NEAR_BITS), rows.select("id", "split")
+    members = _members(spark, sf)
+    return members, N.hamming_pairs(members, 64, NEAR_BITS), _signs(spark, sf).select("id", "split")
 
 
 _BITS = """h AS (SELECT vec_id AS id, 's' || (label % 3) AS split, list_reduce([CASE WHEN v > 0 THEN 1 ELSE 0 END::HUGEINT for v in embedding], lambda a, b: a * 2 + b)::UBIGINT AS bits FROM embeddings),
@@ -336,10 +345,8 @@ def sessionize(spark, sf):
   n AS (SELECT id, ts, coalesce(root, session) AS k FROM s LEFT JOIN c ON c.s = s.session), o AS (SELECT k, row_number() OVER (ORDER BY min(ts), k) AS session FROM n GROUP BY k)
   SELECT id, o.session::BIGINT AS session FROM n JOIN o USING (k)""")
 def session_merge(spark, sf):
-    members, pairs, _ = _hashes(spark, sf)
-    # Pairs are between the first ids of distinct hashes; copies are linked with theirs.
-    copies = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    return T.merge_sessions(T.sessionize(_events(spark, sf)), pairs.select("a", "b").unionByName(copies)).select("id", "session")
+    links = N.hamming_links(_members(spark, sf), 64, NEAR_BITS)
+    return T.merge_sessions(T.sessionize(_events(spark, sf)), links).select("id", "session")
 
 
 _KINDS = ["click", "purchase", "view"]
@@ -380,15 +387,13 @@ def split_assignment(spark, sf):
 @query("""SELECT split, conv_id, turn, (dense_rank() OVER (PARTITION BY split ORDER BY conv_id) - 1)::BIGINT AS image_id, (row_number() OVER (PARTITION BY split ORDER BY conv_id, turn, role, text) - 1)::BIGINT AS annotation_id
   FROM (SELECT *, CASE WHEN conv_id % 5 = 0 THEN 'val' ELSE 'train' END AS split FROM conversations)""")
 def materialize_ids(spark, sf):
-    from pyspark.sql import Window
+    from calibra.operators.ranges import numbered
 
     rows = spark.read.parquet(f"{sf}/conversations.parquet").withColumn("split", F.when(F.col("conv_id") % 5 == 0, "val").otherwise("train"))
-    images = rows.groupBy("split", "conv_id").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("split").orderBy("conv_id")
-    # Ids run over conversations, a row each; within one they go on from its first.
-    images = images.withColumns({"image_id": (F.row_number().over(by) - 1).cast("long"), "base": F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    place = F.row_number().over(Window.partitionBy("split", "conv_id").orderBy("turn", "role", "text")) - 1
-    return rows.withColumn("k", place).join(images, ["split", "conv_id"]).select("split", "conv_id", "turn", "image_id", (F.col("base") + F.col("k")).cast("long").alias("annotation_id"))
+    images = numbered(rows.select("split", "conv_id").distinct(), ["split"], [F.col("conv_id")], "image_id").withColumnsRenamed({"split": "_split", "conv_id": "_conv"})
+    turns = numbered(rows, ["split"], [F.col(c) for c in ("conv_id", "turn", "role", "text")], "annotation_id")
+    same = (F.col("split") == F.col("_split")) & F.col("conv_id").eqNullSafe(F.col("_conv"))
+    return turns.join(images, same).select("split", "conv_id", "turn", "image_id", "annotation_id")
 
 
 def _paired_configs(spark, sf, key, side):
@@ -566,11 +571,48 @@ def ring_median(spark, sf):
 
 @query()
 def picture_hashes(spark, sf):
-    from calibra.operators.pixels import perceptual_hash
+    from calibra.operators.phash import perceptual_hash
 
     return perceptual_hash(_pictures(spark, sf))
 
 
+#: Colours that the arms give, and a stand-in for a model: a box at each place of a grid, its class by the colour around it.
+COLOURS = {"blue": (5.0, -30.0), "yellow": (0.0, 45.0)}
+
+
+def grid_model(rgb):
+    found = []
+    for y in range(0, 30, 10):
+        for x in range(0, 50, 10):
+            part = rgb[max(0, y - 4) : y + 14, max(0, x - 4) : x + 12].reshape(-1, 3).mean(axis=0)
+            found.append(("k00" if part[2] > part[0] else "k01", float(part[1]) / 255, float(x), float(y), 6.0, 9.0))
+    return found
+
+
+def _arm_pictures(spark, sf):
+    """Pictures with a box of k00, the place of the first one, and all arms."""
+    first = F.array_position(F.transform("boxes", lambda b: b["cls"]), "k00").cast("int") - 1
+    return _pictures(spark, sf).withColumns({"target": first, "arms": F.array(*[F.lit(a) for a in ("keep", "reverse", "ring", "sham", "whole")])}).filter("target >= 0")
+
+
+@query()
+def recoloured_arms(spark, sf):
+    """What becomes of a target box when each arm alters its picture: how many are read as what, and the median clipped share."""
+    from calibra.operators.pixels import predict_arms
+    from calibra.operators.ranges import use_checkpoints
+
+    use_checkpoints(spark)
+    found = predict_arms(_arm_pictures(spark, sf), COLOURS, grid_model).withColumn("key", F.concat_ws("#", "arm", "image")).checkpoint()
+    jobs = found.filter("pred_idx < 0").select("arm", "image", "key", "clipped")
+    boxes = _arm_pictures(spark, sf).select("image", "target", F.posexplode("boxes").alias("gt_idx", "b")).select("image", "target", F.col("gt_idx").cast("long").alias("gt_idx"), "b.*")
+    gt = jobs.select("key", "image").join(boxes, "image").withColumn("image", F.col("key")).drop("key")
+    pred = found.filter("pred_idx >= 0").withColumn("image", F.col("key"))
+    read = M.match(gt.drop("target"), pred).filter(F.col("gt_idx").isNotNull() & (F.col("conf") >= AT)).select(F.col("image").alias("key"), "gt_idx", F.col("cls").alias("read"))
+    targets = gt.filter("gt_idx = target").select(F.col("image").alias("key"), "gt_idx")
+    out = jobs.join(targets, "key").join(read, ["key", "gt_idx"], "left").groupBy("arm", F.coalesce("read", F.lit(M.MISSED)).alias("outcome"))
+    return rounded(out.agg(F.count("*").alias("n"), F.median("clipped").alias("median_clipped")), "median_clipped")
+
+
 _GATE = with_(r=fx.RECORDED, l=fx.LOCAL, a=fx.AFTER) + """, g AS (SELECT r.*, l.outcome AS met, r.outcome IS NOT DISTINCT FROM l.outcome AS ok FROM r LEFT JOIN l USING (study, image) WHERE grp IN ('M', 'C')),
   b AS (SELECT study, image, unnest(['ring', 'sham', 'whole']) AS arm FROM g WHERE ok AND grp = 'M' UNION ALL SELECT study, image, 'reverse' FROM g WHERE ok AND grp = 'C' AND ring_b <= 0 UNION ALL SELECT study, image, 'keep' FROM g WHERE ok AND grp = 'C' AND ring_b > 0),
   s AS (SELECT b.*, a.outcome = CASE arm WHEN 'reverse' THEN 'k01' ELSE 'k00' END AS success FROM b JOIN a USING (study, image))"""
@@ -672,3 +714,59 @@ def outcome_groups(spark, sf):
     group = S.outcome_group(name(key % 4), F.when(pred == 4, "missed").otherwise(name(pred)), name((key + 1) % 4))
     rows = spark.read.parquet(f"{sf}/orders.parquet").select(S.side(F.col("o_totalprice") - 150000).alias("side"), group.alias("grp"))
     return rows.groupBy("side", "grp").agg(F.count("*").alias("n"))
+
+
+# Each event's configuration against the next one's: text from the event's type, a file in a folder of its own, a note that does not count.
+_CONFIGS = """c AS (SELECT event_id // 2 AS k, event_id % 2 AS side, event_type AS lr, event_id % 3 AS seed, '/c' || (event_id % 5) || '/' || event_type || '.pt' AS file FROM events),
+  p AS (SELECT coalesce(a.k, b.k) AS k, a.lr AS lr, b.lr AS lr2, a.file AS file, b.file AS file2, a.lr || '.pt' AS name, b.lr || '.pt' AS name2, b.seed AS seed, b.k AS there FROM (SELECT * FROM c WHERE side = 0) a FULL JOIN (SELECT * FROM c WHERE side = 1) b USING (k))"""
+
+
+def _flat_configs(spark, sf):
+    body = """'{"train_config": {"lr": "' || event_type || '", "seed": ' || event_id % 3 || ', "epochs": 50.0}, "model_config": {"pretrain_weights": "/c' || event_id % 5 || '/' || event_type || '.pt", "sizes": [1, 2]}, "note": {"id": ' || event_id || '}}'"""
+    rows = spark.read.parquet(f"{sf}/events.parquet").selectExpr("event_id div 2 AS k", "event_id % 2 AS side", f"{body} AS config")
+    flat = R.flatten(rows, "k", "side")
+    return flat.filter("side = 0").drop("side"), flat.filter("side = 1").drop("side")
+
+
+@query(f"""WITH {_CONFIGS} SELECT path, one, other, count(*)::BIGINT AS n FROM (SELECT 'train_config.lr' AS path, lr AS one, lr2 AS other FROM p WHERE lr IS DISTINCT FROM lr2 UNION ALL SELECT 'model_config.pretrain_weights', file, file2 FROM p WHERE name IS DISTINCT FROM name2
+  UNION ALL SELECT f.path, f.v, NULL FROM p, (VALUES ('train_config.epochs', '50'), ('model_config.sizes', '[1,2]')) f(path, v) WHERE there IS NULL UNION ALL SELECT f.path, NULL, f.v FROM p, (VALUES ('train_config.epochs', '50'), ('model_config.sizes', '[1,2]')) f(path, v) WHERE lr IS NULL) GROUP BY ALL""")
+def config_rule(spark, sf):
+    return G.config_problems(*_flat_configs(spark, sf), ["k"]).groupBy("path", "one", "other").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_CONFIGS} SELECT 'train_config.seed' AS path, '1' AS wanted, seed::VARCHAR AS value, count(*)::BIGINT AS n FROM p WHERE there IS NOT NULL AND seed <> 1 GROUP BY ALL")
+def treatment_rule(spark, sf):
+    flat = _flat_configs(spark, sf)[1]
+    wanted = flat.select("k").distinct().select("k", F.lit("train_config.seed").alias("path"), F.lit("1").alias("value"))
+    return G.treatment_problems(flat, wanted, ["k"]).groupBy("path", "wanted", "value").agg(F.count("*").alias("n"))
+
+
+@query(with_(r=fx.RECORDED, l=fx.LOCAL) + " SELECT l.study, count(*)::BIGINT AS n FROM l LEFT JOIN r USING (study, image) WHERE r.ring_b IS NULL GROUP BY l.study")
+def uncovered_targets(spark, sf):
+    rings = frame(spark, sf, fx.RECORDED).withColumnRenamed("ring_b", "value")
+    return G.uncovered(frame(spark, sf, fx.LOCAL), rings, "study", "image").groupBy("study").agg(F.count("*").alias("n"))
+
+
+@query(with_(r=fx.RECORDED, l=fx.LOCAL) + """, x AS (SELECT study, CASE WHEN outcome IN ('k00', 'k01') THEN outcome ELSE 'other' END AS outcome, 1 AS a, 0 AS b FROM r UNION ALL SELECT study, CASE WHEN outcome IN ('k00', 'k01') THEN outcome ELSE 'other' END, 0, 1 FROM l)
+  SELECT study, outcome, sum(a)::BIGINT AS recorded, sum(b)::BIGINT AS scored FROM x GROUP BY ALL HAVING sum(a) <> sum(b)""")
+def not_reproduced(spark, sf):
+    return G.not_reproduced(frame(spark, sf, fx.RECORDED), frame(spark, sf, fx.LOCAL), ["k00", "k01"], "study")
+
+
+@query(_PAIRED + ", " + _AP_BODY + ", " + _GUARD_BODY + f""", rec AS ({fx.duck(fx.RECORDS)}), k AS (SELECT (SELECT count(*) FROM fc WHERE fate = 'correct') AS kc, (SELECT count(*) FROM fa WHERE fate = 'correct') AS ka, (SELECT bool_and(ok) FROM gr) AS safe),
+  bad AS (SELECT pair, (count(*) FILTER (run IS NULL OR run <> expected) + count(*) FILTER (coalesce(NOT check_ok, true)))::BIGINT AS problems FROM rec GROUP BY pair)
+  SELECT pair, problems, CASE WHEN problems > 0 THEN 'invalid' WHEN misread_c <= 20 THEN 'void' WHEN misread_t <= misread_c // 2 AND p < 0.05 AND 2 * (ka - kc) >= misread_c - misread_t THEN CASE WHEN safe THEN 'fixed' ELSE 'fixed at a cost' END WHEN misread_t <= misread_c // 2 AND p < 0.05 THEN 'displaced' ELSE 'not fixed' END AS state FROM bad, pv, k""")
+def run_result(spark, sf):
+    """The decision with everything that it hangs on: paired boxes, all guardrails, and for each pair of records their own checks."""
+    a, t = _fates(spark, sf, fx.PRED, AT), _fates(spark, sf, fx.PRED_A, AT_A)
+    right = lambda df, n: df.agg(F.count_if(F.col("fate") == "correct").alias(n))
+    safe = R.guardrails(_scores(spark, sf, fx.PRED), _scores(spark, sf, fx.PRED_A), ["k00", "k01"]).agg(F.bool_and("ok").alias("safe"))
+    numbers = X.paired(a, t, F.col("fate") == "misread").withColumn("one", F.lit(1))
+    for one_row in (right(a, "correct_c"), right(t, "correct_t"), safe):
+        numbers = numbers.join(one_row.withColumn("one", F.lit(1)), "one")
+    records = frame(spark, sf, fx.RECORDS)
+    problems = G.record_problems(records, "pair").groupBy("pair").agg(F.count("*").alias("problems"))
+    pairs = records.select("pair").distinct().join(problems, "pair", "left").na.fill(0, ["problems"]).withColumn("one", F.lit(1))
+    c = F.col
+    decided = R.run_decision(c("misread_c"), c("correct_c"), c("misread_t"), c("correct_t"), c("p"), c("safe"), c("problems") == 0)
+    return pairs.join(F.broadcast(numbers), "one").select("pair", "problems", decided.alias("state"))  # one row

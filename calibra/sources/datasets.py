@@ -2,52 +2,45 @@
 
 from __future__ import annotations
 
+import csv
 import json
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from calibra.operators.ranges import numbered
+from calibra.sources.entries import joined_file, read_entries
 
 SPLITS = ["train", "valid", "test"]
-COCO = """categories array<struct<id: bigint, name: string, supercategory: string>>,
-images array<struct<id: bigint, file_name: string, width: int, height: int, extra: struct<name: string>>>,
-annotations array<struct<id: bigint, image_id: bigint, category_id: bigint, bbox: array<double>>>"""
+#: An entry of each array of a label file.
+CATEGORY = "id bigint, name string, supercategory string"
+IMAGE = "id bigint, file_name string, width int, height int, extra struct<name: string>"
+ANNOTATION = "id bigint, image_id bigint, category_id bigint, bbox array<double>"
 PREDICTIONS = "file string, class_name string, confidence double, x double, y double, w double, h double"
 MANIFEST = "file string, published_split string, width int, height int, captured_at string, boxes string, sha256 string, phash256 string, exclusion string, session int, split string"
 LABELS = "_annotations.coco.json"
 
 
-def whole_texts(spark: SparkSession, paths: list[tuple[str, str]]) -> DataFrame:
-    """key and value: each file's text. Spark's own readers pass over names that begin with an underscore."""
-
-    def run(batches):
-        import pyarrow as pa
-        from pyarrow import fs
-
-        for b in batches:
-            out = []
-            for path in b.column("path").to_pylist():
-                store, at = fs.FileSystem.from_uri(path)
-                with store.open_input_stream(at) as f:
-                    out.append(f.read().decode())
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(out, pa.string())], ["key", "value"])
-
-    listed = spark.createDataFrame(paths, "key string, path string")
-    return listed.repartition(max(1, len(paths)), "key").mapInArrow(run, "key string, value string")
+def _labels(spark: SparkSession, folder: str, splits: list[str], name: str, schema: str) -> DataFrame:
+    """split, pos and the fields of each entry of an array of the splits' label files."""
+    rows = read_entries(spark, [(x, f"{folder}/{x}/{LABELS}") for x in splits], name)
+    return rows.select(F.col("key").alias("split"), "pos", F.from_json("value", schema).alias("e")).select("split", "pos", "e.*")
 
 
 def read_coco(spark: SparkSession, folder: str, splits: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """images(split, ord, image, file_name, width, height) and boxes(split, image, gt_idx, cls, x, y, w, h) of an export.
 
     An image's name is its original one where the export has it. Ids are local to a split's file. Images without boxes
-    are in `images`. A box of an unknown image or category is an error.
+    are in `images`. A box of an unknown image or category is an error. Files are read as streams, whatever their size.
     """
     splits = splits or SPLITS
-    order = F.array_position(F.array(*map(F.lit, splits)), F.col("key")) - 1
-    raw = whole_texts(spark, [(x, f"{folder}/{x}/{LABELS}") for x in splits]).select(F.col("key").alias("split"), order.alias("split_ord"), F.from_json("value", COCO).alias("c")).select("split", "split_ord", "c.*")
-    images = raw.select("split", "split_ord", F.posexplode("images").alias("pos", "i"))
-    images = images.select("split", (F.col("split_ord") * F.lit(1 << 40) + F.col("pos")).alias("ord"), F.coalesce("i.extra.name", "i.file_name").alias("image"), "i.file_name", F.col("i.id").alias("id"), "i.width", "i.height")
-    names = raw.select("split", F.explode("categories").alias("c")).select("split", F.col("c.id").alias("category_id"), F.col("c.name").alias("cls"))
-    boxes = raw.select("split", F.posexplode("annotations").alias("pos", "a")).select("split", "pos", F.col("a.image_id").alias("id"), "a.category_id", "a.bbox")
+    order = F.array_position(F.array(*map(F.lit, splits)), F.col("split")) - 1
+    images = _labels(spark, folder, splits, "images", IMAGE)
+    images = images.select("split", (order * F.lit(1 << 40) + F.col("pos")).alias("ord"), F.coalesce("extra.name", "file_name").alias("image"), "file_name", "id", "width", "height")
+    names = _labels(spark, folder, splits, "categories", CATEGORY).select("split", F.col("id").alias("category_id"), F.col("name").alias("cls"))
+    boxes = _labels(spark, folder, splits, "annotations", ANNOTATION).select("split", "pos", F.col("image_id").alias("id"), "category_id", "bbox")
     joined = boxes.join(images.select("split", "id", "image"), ["split", "id"], "left").join(names, ["split", "category_id"], "left")
     known = F.when(F.col("image").isNull() | F.col("cls").isNull(), F.raise_error(F.lit("a box names an unknown image or category")).cast("boolean")).otherwise(F.lit(True))
     place = (F.row_number().over(Window.partitionBy("split", "image").orderBy("pos")) - 1).cast("long")
@@ -57,11 +50,13 @@ def read_coco(spark: SparkSession, folder: str, splits: list[str] | None = None)
 
 def categories_of(spark: SparkSession, folder: str, splits: list[str] | None = None) -> list[dict]:
     """The categories of an export, in its order. Splits that differ in them are an error."""
-    texts = whole_texts(spark, [(x, f"{folder}/{x}/{LABELS}") for x in splits or SPLITS])
-    kinds = texts.select(F.to_json(F.from_json("value", COCO)["categories"]).alias("c")).distinct().limit(2).collect()
-    if len(kinds) > 1:
+    kinds = _labels(spark, folder, splits or SPLITS, "categories", CATEGORY)
+    rows = kinds.select("split", "pos", F.to_json(F.struct("id", "name", "supercategory")).alias("c")).collect()
+    by = {s: [json.loads(r["c"]) for r in sorted((r for r in rows if r["split"] == s), key=lambda r: r["pos"])] for s in splits or SPLITS}
+    first = next(iter(by.values()))
+    if any(other != first for other in by.values()):
         raise ValueError("the splits of the export have different categories")
-    return json.loads(kinds[0]["c"])
+    return first
 
 
 #: The folder of each part of a prepared set.
@@ -72,14 +67,14 @@ def write_coco(images: DataFrame, boxes: DataFrame, categories: list[dict], fold
     """A label file for each part, ids renumbered from 0 in the order of `ord` and gt_idx; read_coco reads it again.
 
     images has split (train, val or test), ord, image, file_name, width and height; boxes has split, image, gt_idx, cls
-    and x, y, w, h. Categories stay as they are, so classes keep their ids. A file is written by one task as a stream
-    of sorted lines, an entry each, so no part of it need fit in memory.
+    and x, y, w, h. Categories stay as they are, so classes keep their ids. Ids run over ranges of the order; the lines of
+    a file, an entry each, are sorted in ranges, and their files are joined as a stream.
     """
     spark = images.sparkSession
-    ids = images.withColumn("id", (F.row_number().over(Window.partitionBy("split").orderBy("ord")) - 1).cast("long"))
+    ids = numbered(images.select("split", "ord", "image", "file_name", "width", "height"), ["split"], [F.col("ord")], "id")
     number = F.create_map(*[F.lit(v) for c in categories for v in (c["name"], c["id"])])
     rows = boxes.join(ids.select("split", "image", F.col("id").alias("image_id")), ["split", "image"])
-    rows = rows.withColumn("id", (F.row_number().over(Window.partitionBy("split").orderBy("image_id", "gt_idx")) - 1).cast("long"))
+    rows = numbered(rows, ["split"], [F.col("image_id"), F.col("gt_idx")], "id")
     comma = F.when(F.col("id") > 0, ", ").otherwise("")
     image = F.struct("id", "file_name", "width", "height", F.struct(F.col("image").alias("name")).alias("extra"))
     box = F.struct("id", "image_id", F.element_at(number, F.col("cls")).cast("long").alias("category_id"), F.array(*"xywh").alias("bbox"))
@@ -87,14 +82,11 @@ def write_coco(images: DataFrame, boxes: DataFrame, categories: list[dict], fold
     entries = entries.union(rows.select("split", F.lit(3), "id", F.concat(comma, F.to_json(box))))
     frame = [(s, n, 0, t) for s in PARTS for n, t in ((0, f'{{"categories": {json.dumps(categories)}, "images": ['), (2, '], "annotations": ['), (4, "]}"))]
     lines = entries.union(spark.createDataFrame(frame, "split string, part int, id long, value string"))
-    files = spark._jvm.org.apache.hadoop.fs
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     for split, name in PARTS.items():
-        out, parts = files.Path(f"{folder}/{name}/{LABELS}"), files.Path(f"{folder}/{name}/_parts")
-        lines.filter(F.col("split") == split).coalesce(1).sortWithinPartitions("part", "id").select("value").write.mode("overwrite").text(parts.toString())
-        store = out.getFileSystem(spark._jsc.hadoopConfiguration())
-        store.delete(out, False)
-        store.rename(store.globStatus(files.Path(parts, "part-*"))[0].getPath(), out)
-        store.delete(parts, True)
+        parts = f"{folder}/{name}/_parts"
+        lines.filter(F.col("split") == split).repartitionByRange(tasks, "part", "id").sortWithinPartitions("part", "id").select("value").write.mode("overwrite").text(parts)
+        joined_file(spark, parts, f"{folder}/{name}/{LABELS}")
 
 
 def copy_pictures(images: DataFrame, source: str, folder: str) -> int:
@@ -137,9 +129,11 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def read_metrics(spark: SparkSession, path: str, score: str = "test/mAP_50_95") -> DataFrame:
-    """A training's metrics by epoch; blanks are null. Exactly one row must have the test score."""
-    rows = spark.read.csv(path, header=True, nullValue="", inferSchema=True)
-    if rows.filter(F.col(f"`{score}`").isNotNull()).count() != 1:
+    """A training's metrics by epoch, numbers all; blanks are null. Exactly one row must have the test score."""
+    head = spark.read.text(path).first()
+    names = next(csv.reader([head["value"]])) if head else []
+    rows = spark.read.schema(T.StructType([T.StructField(n, T.DoubleType()) for n in names])).csv(path, header=True, nullValue="")
+    if score not in names or rows.filter(F.col(f"`{score}`").isNotNull()).count() != 1:
         raise ValueError(f"{path} has not one row with {score}")
     return rows
 
@@ -162,23 +156,34 @@ def read_lookup(spark: SparkSession, path: str, key: str, value: str) -> DataFra
 
 
 def read_pictures(spark: SparkSession, path: str) -> DataFrame:
-    """image, width, height and data as RGB bytes, row by row."""
+    """image, folder (the last of its path), width, height and data as RGB bytes, row by row.
+
+    Formats are those of the machine's picture reader. A file that it cannot read is an error, and not left out.
+    """
     rows = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
 
     def rgb(batches):
-        import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            flipped = [np.frombuffer(d, np.uint8).reshape(h, w, -1)[:, :, 2::-1].tobytes() for d, w, h in zip(b.column("data").to_pylist(), b.column("width").to_pylist(), b.column("height").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("image"), b.column("width"), b.column("height"), pa.array(flipped, pa.binary())], ["image", "width", "height", "data"])
+            for i in range(b.num_rows):
+                image, folder, h, w = (b.column(c)[i].as_py() for c in ("image", "folder", "height", "width"))
+                if h is None or h <= 0:
+                    raise ValueError(f"{folder}/{image} cannot be read as a picture")
+                # One or three or four channels, blue first; grey is all three.
+                raw = np.frombuffer(b.column("data")[i].as_buffer(), np.uint8).reshape(h, w, -1)
+                pixels = np.repeat(raw, 3, axis=2) if raw.shape[2] == 1 else raw[:, :, 2::-1]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((image, pa.string()), (folder, pa.string()), (w, pa.int32()), (h, pa.int32()), (pixels.tobytes(), pa.binary()))], ["image", "folder", "width", "height", "data"])
 
-    named = rows.select(F.element_at(F.split("origin", "/"), -1).alias("image"), "width", "height", "data")
-    return named.mapInArrow(rgb, "image string, width int, height int, data binary")
+    part = lambda i: F.try_element_at(F.split("origin", "/"), F.lit(i))
+    named = rows.select(part(-1).alias("image"), part(-2).alias("folder"), "height", "width", "data")
+    return named.mapInArrow(rgb, "image string, folder string, width int, height int, data binary")
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"), "length")
+def file_hashes(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, folder (the last of its path), sha256 and length of files."""
+    part = lambda i: F.try_element_at(F.split("path", "/"), F.lit(i))
+    return spark.read.format("binaryFile").load(path).select(part(-1).alias("file"), part(-2).alias("folder"), F.sha2("content", 256).alias("sha256"), "length")
 
 
 def list_pictures(spark: SparkSession, path: str, most: int = 6) -> DataFrame:
@@ -186,9 +191,12 @@ def list_pictures(spark: SparkSession, path: str, most: int = 6) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path").filter(F.lower("path").rlike(r"\.(jpe?g|png|webp)$")).orderBy("path").limit(most)
 
 
-def report(df: DataFrame, title: str) -> tuple[str, str]:
-    """A small result as JSON and as a Markdown table."""
-    rows = [r.asDict(recursive=True) for r in df.collect()]
-    head = "| " + " | ".join(df.columns) + " |\n|" + "-|" * len(df.columns)
-    lines = ["| " + " | ".join("" if r[c] is None else f"{r[c]:.4f}" if isinstance(r[c], float) else str(r[c]) for c in df.columns) + " |" for r in rows]
-    return json.dumps({"title": title, "rows": rows}, default=str, indent=1), f"# {title}\n\n{head}\n" + "\n".join(lines) + "\n"
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, in whatever store the path names."""
+    files = spark._jvm.org.apache.hadoop.fs
+    at = files.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()

@@ -9,8 +9,10 @@ notices, adverts, forms or comments, or are mostly links are template; the other
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
@@ -31,12 +33,17 @@ ENDED_BY = {"p": BLOCKS - {"html", "body", "head"}, "li": {"li"}, "dt": {"dt", "
 #: Elements, and words in classes, ids and roles, that mark what is not the article.
 ASIDE_TAGS = frozenset("nav footer aside form menu dialog button label head fieldset".split())
 ASIDE_WORDS = frozenset("ad ads advert adverts advertisement banner cookie cookies consent notice notices menu nav navbar navigation breadcrumb breadcrumbs sidebar widget footer masthead comment comments reply replies respond disqus promo sponsor sponsored related share sharing social newsletter subscribe popup modal login signup search pagination copyright hidden gdpr contentinfo complementary".split())
+#: Words that say nothing in a name beside one that marks: "share-box" is aside, "share-price" is not.
+NEUTRAL_WORDS = frozenset("a the top bottom left right first last main site page list lists item items box bar block blocks link links wrap wrapper container section area inner outer form panel panels btn button buttons icon icons content open closed text title header head post posts article articles story stories more tools unit slot count counts thread body".split())
+#: Elements whose text names what follows: it may be the same on every page of a host.
+NAMING_TAGS = frozenset("h1 h2 h3 h4 h5 h6 th dt caption figcaption summary".split())
 MAIN_TAGS, MAIN_WORDS = ("article", "main"), frozenset("article content main post entry story".split())
 #: Paths are written out down to this depth; deeper ones end in a hash of the rest and its elements that mark something.
 DEPTH = 24
 
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+(?:/>|>.*?(?:</\1\s*>|\Z))|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|</([a-zA-Z][^\s>]*)[^>]*>|<[!?/][^>]*>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_MARKED = re.compile("|".join(sorted(ASIDE_WORDS - {"ad"}, key=len, reverse=True)) + r"|\bad\b|[-_]ad|ad[-_]", re.I)
 _NAME = re.compile(r"[a-z]+(?=[A-Z]|[^A-Za-z]|\Z)|[A-Z][a-z]*")
 
 
@@ -60,6 +67,16 @@ def words_of(sig: str) -> set[str]:
     return {w.lower() for name in sig.split(".")[1:] for w in _NAME.findall(name)}
 
 
+@functools.lru_cache(maxsize=4096)
+def aside_words(sig: str) -> bool:
+    """Whether one of an element's names marks it as no article: a name of marking and neutral words alone."""
+    for name in sig.split(".")[1:]:
+        words = {w.lower() for w in _NAME.findall(name)}
+        if words & ASIDE_WORDS and words <= ASIDE_WORDS | NEUTRAL_WORDS:
+            return True
+    return False
+
+
 def marks(sig: str) -> bool:
     """Whether an element says that its text is the article, or is not."""
     return sig.split(".")[0] in {*MAIN_TAGS, *ASIDE_TAGS, "header"} or bool(words_of(sig) & (ASIDE_WORDS | MAIN_WORDS | {"header"}))
@@ -81,6 +98,8 @@ class Page:
         self.children.append(("", stack[0][2]))
         text: list[str] = []
         links, in_link, at = 0, 0, 0
+        opened_now: Counter[str] = Counter()
+        skipped, depth = "", 0  # an inline element that is no article, and how many of its kind are open; it ends with its block
 
         def flush() -> None:
             nonlocal links
@@ -94,16 +113,19 @@ class Page:
         for m in _TOKEN.finditer(source):
             if m.start() > at:
                 run = source[at : m.start()]
-                text.append(entities.unescape(run) if "&" in run else run)
-                links += len(run) if in_link else 0
+                if not skipped:
+                    text.append(entities.unescape(run) if "&" in run else run)
+                    links += len(run) if in_link else 0
             at = m.end()
             opened, attributes, closed = m.group(2), m.group(3), m.group(4)
             if opened:
                 tag = opened.lower()
-                if tag in BLOCKS:
+                named = tag not in BLOCKS and "=" in attributes and _MARKED.search(attributes) and aside_words(signature(tag, attributes))
+                if tag in BLOCKS or named and "-" in tag:  # an element of the page's own, marked, may hold blocks
                     flush()
+                    skipped = ""
                     while len(stack) > 1 and tag in ENDED_BY.get(stack[-1][0], ()):
-                        stack.pop()
+                        opened_now[stack.pop()[0]] -= 1
                     sig = signature(tag, attributes)
                     stack[-1][2].append(sig)
                     if tag not in VOID and not attributes.endswith("/"):
@@ -112,23 +134,33 @@ class Page:
                             tail = deeper(stack[-1][3] or (stack[-1][1], "", ()), sig)
                             path = "/".join([tail[0], f"~{tail[1]}", *tail[2]])
                         stack.append((tag, path, [], tail))
+                        opened_now[tag] += 1
                         self.children.append((path, stack[-1][2]))
+                elif skipped:
+                    depth += tag == skipped and not attributes.endswith("/")
+                elif named and tag not in VOID and not attributes.endswith("/"):
+                    skipped, depth = tag, 1
                 elif tag == "br":
                     text.append(" ")
                 elif tag == "a":
                     in_link = 1
             elif closed:
                 tag = closed.lower()
-                if tag in BLOCKS:
+                if tag in BLOCKS or opened_now[tag]:
                     flush()
-                    if any(tag == s[0] for s in stack[-64:]):
-                        while stack.pop()[0] != tag:
-                            pass
+                    skipped = ""
+                    if opened_now[tag]:
+                        while (last := stack.pop()[0]) != tag:
+                            opened_now[last] -= 1
+                        opened_now[tag] -= 1
+                elif skipped:
+                    depth -= tag == skipped
+                    skipped = skipped if depth else ""
                 elif tag == "a":
                     in_link = 0
-            else:
+            elif not skipped:
                 text.append(" " if m.group(1) else "")
-        if at < len(source):
+        if at < len(source) and not skipped:
             run = source[at:]
             text.append(entities.unescape(run))
         flush()
@@ -264,7 +296,7 @@ def main_levels(slots: list[dict]) -> list[list[str]]:
             tag, words = sig.split(".")[0], words_of(sig)
             if tag not in ("html", "body"):
                 judged = strict or (i > last if last else held["/".join(parts[: i + 1])] < half)
-                if tag in ASIDE_TAGS or judged and (words & ASIDE_WORDS or (tag == "header" or "header" in words) and not inside):
+                if tag in ASIDE_TAGS or judged and (aside_words(sig) or (tag == "header" or "header" in words) and not inside):
                     return True
             inside = inside or tag in MAIN_TAGS
         return False
@@ -275,8 +307,10 @@ def main_levels(slots: list[dict]) -> list[list[str]]:
     pages = next((s["pages"] for s in slots if s["path"] == ""), 0)
 
     def filled(rest: list[dict]) -> list[dict]:
-        """Those slots that are not the same on every page of the host; all, if the pages are copies of one."""
-        return [s for s in rest if not (pages >= 3 and s["pages"] >= pages and s["low"] == s["high"])] or rest
+        """Those slots that are not the same on every page of the host, and headings; all, if the pages are copies of one."""
+        names = lambda s: s["path"].rpartition("/")[2].split(".")[0] in NAMING_TAGS
+        kept = [s for s in rest if names(s) or not (pages >= 3 and s["pages"] >= pages and s["low"] == s["high"])]
+        return kept if any(not names(s) for s in kept) else rest
 
     def within(s: dict, tag: str) -> bool:
         return any(x.split(".")[0] == tag for x in s["path"].split("/"))

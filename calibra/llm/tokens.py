@@ -7,8 +7,10 @@ import re
 
 import numpy as np
 
-#: Words longer than this are encoded each time; each of the two caches is emptied when it holds so many.
-CACHED_CHARS, CACHED_WORDS = 40, 150_000
+#: Words longer than this are encoded each time. Each of the two caches has two generations of so many bytes.
+CACHED_CHARS, CACHED_BYTES = 40, 32 << 20
+#: Bytes that an entry takes besides its characters and ids.
+ENTRY_BYTES = 180
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: All white space but the four characters at which texts are cut; and pairs of those four that split(" ") would tear.
 _OTHER_WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \t\r\n"]
@@ -74,14 +76,21 @@ class Encoder:
 
 
 class _Cache(dict):
+    """Ids of words, made when they are asked for. When it is full, it becomes the older generation, from which what is asked for again comes back; what was not goes with it."""
+
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.held = make, 0
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
-        ids = self.make(key)
+        ids = self.older.get(key)
+        if ids is None:
+            ids = self.make(key)
         if len(key) <= CACHED_CHARS:
-            if len(self) >= CACHED_WORDS:
+            self.held += ENTRY_BYTES + len(key) + len(ids)
+            if self.held > CACHED_BYTES:
+                self.older, self.held = dict(self), 0
                 self.clear()
             self[key] = ids
         return ids

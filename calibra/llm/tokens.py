@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import functools
 import re
+import string
+from array import array
 
 import numpy as np
 
 #: Words longer than this are encoded each time. Each of the two caches has two generations of so many bytes.
-CACHED_CHARS, CACHED_BYTES = 40, 32 << 20
+CACHED_CHARS, CACHED_BYTES = 40, 48 << 20
 #: Bytes that an entry takes besides its characters and ids.
 ENTRY_BYTES = 180
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -18,6 +20,8 @@ _PAIRS = ["  ", "\n ", " \n", "\t", "\r"]
 #: White space and Latin letters up to white space or one of some marks that no letter joins; else all up to white space.
 _CHUNK = re.compile(rf"[ \t\r\n]*+[{_LATIN}]++(?![^ \t\r\n,.;:!?&%#*$])|[ \t\r\n]*+[^ \t\r\n]+|[ \t\r\n]+\Z")
 _WORD = re.compile(rf" [{_LATIN}]+\Z")
+_LETTERS = re.compile(rf"[{_LATIN}]+\Z")
+_MARKED = re.compile(rf"[{_LATIN}]+[,.;:!?]\Z")
 
 
 def tokenizer_path(name: str) -> str:
@@ -41,11 +45,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.after_blank = _Cache(lambda piece: b"".join([self.chunks[c] for c in _CHUNK.findall(f" {piece}")]))
+        self.after_blank = _Cache(self._after_blank)
         self.chunks = _Cache(self._chunk)
         self.model = self.tokenizer.model
         self.letters = {ord(c): "".join(p for p, _ in self._split(c)) for c in map(chr, [*range(65, 256)]) if re.match(f"[{_LATIN}]", c)}
         self.blank = self._split(" a")[0][0][:-1]
+        self.same_ascii = all(self.letters.get(ord(c)) == c for c in string.ascii_letters)
         if any(self._word(w) != self.whole(w) for w in (" Word", " é", " a", " Häuser")):
             self.letters = {}
 
@@ -58,7 +63,21 @@ class Encoder:
 
     def _word(self, chunk: str) -> bytes:
         """A blank and Latin letters, which are one piece for the model."""
-        return np.array([t.id for t in self.model.tokenize(self.blank + chunk[1:].translate(self.letters))], np.uint32).tobytes()
+        return self._letters(chunk[1:])
+
+    def _letters(self, word: str) -> bytes:
+        """Ids of a blank and a word of Latin letters."""
+        if not (self.same_ascii and word.isascii()):
+            word = word.translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(self.blank + word)]).tobytes()
+
+    def _after_blank(self, piece: str) -> bytes:
+        """Ids of a blank and what stands up to the next one; a plain word needs no cutting."""
+        if self.letters and _LETTERS.match(piece):
+            return self._letters(piece)
+        if _MARKED.match(piece):
+            return self.after_blank[piece[:-1]] + self.chunks[piece[-1]]
+        return b"".join([self.chunks[c] for c in _CHUNK.findall(f" {piece}")])
 
     def _chunk(self, chunk: str) -> bytes:
         return self._word(chunk) if self.letters and _WORD.match(chunk) else self.whole(chunk)

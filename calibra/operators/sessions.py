@@ -165,10 +165,10 @@ def val_sessions(pool: DataFrame, classes: list[str], n: int, share=VAL_SHARE, t
     good = tried.filter(F.col("total").between(low, high)).select("trial", F.explode("taken").alias("place")).join(sessions, "place")
     scores = good.groupBy("trial").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(classes))])
     score = F.array_min(F.array(*[f"c{i}" for i in range(len(classes))]))
-    best = scores.select("trial", score.alias("score")).agg(F.max_by(F.struct("trial", "score"), F.struct("score", -F.col("trial"))).alias("b"))
-    found = F.when(F.col("b").isNull(), F.raise_error(F.lit("no trial reaches the share of the validation part")).cast("boolean")).otherwise(F.lit(True))
-    best = best.filter(found).select("b.trial", "b.score")
-    return best.join(good.select(F.col("trial").alias("_t"), "session"), F.col("trial") == F.col("_t")).select("trial", "score", "session")
+    best = scores.select("trial", score.alias("score")).agg(F.max_by(F.struct("trial", "score"), F.struct("score", -F.col("trial"))).alias("b")).first()["b"]
+    if best is None:
+        raise ValueError("no trial reaches the share of the validation part")
+    return good.filter(F.col("trial") == best["trial"]).select("trial", F.lit(best["score"]).cast("long").alias("score"), "session")
 
 
 def assign(rows: DataFrame, dates: DataFrame, val: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import math
 import random
 import statistics
 from collections import Counter, defaultdict
-from datetime import date
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
@@ -148,3 +148,13 @@ def test_validation_choice_and_split(spark, sf_dir):
     split = [("test" if d in dates else "val" if s in sessions else "train", s) for d, s, _, _ in rows]
     want = {k: (sum(p == k for p, _ in split), len({s for p, s in split if p == k})) for k in ("test", "val", "train")}
     assert {r.split: (r.images, r.sessions) for r in Q.QUERIES["split_assignment"](spark, sf_dir).collect()} == want
+
+
+def test_no_validation_part_where_sessions_are_too_large(spark, tmp_path):
+    """A session a day, each a seventh of the events or more: none fits, as in tables of ten times the events."""
+    start = datetime(2020, 1, 1)
+    events = [(i, start + timedelta(days=i // 1000, seconds=i % 1000), ("click", "purchase", "view")[i % 3]) for i in range(5500)]
+    spark.createDataFrame([(i, at + timedelta(days=4 * (at - start).days), kind) for i, at, kind in events], "event_id long, ts timestamp_ntz, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    assert Q.QUERIES["val_session_choice"](spark, str(tmp_path)).collect() == []
+    got = {r.split: (r.images, r.sessions) for r in Q.QUERIES["split_assignment"](spark, str(tmp_path)).collect()}
+    assert got == {"test": (1000, 1), "train": (4500, 5)}

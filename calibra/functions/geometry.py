@@ -21,8 +21,12 @@ def overlap(a: Column, b: Column) -> Column:
 
 def iou(a: Column, b: Column) -> Column:
     """Intersection over union for scoring; 0 where the union is not positive."""
-    inner = overlap(a, b)
-    union = a["w"] * a["h"] + b["w"] * b["h"] - inner
+    return iou_of(overlap(a, b), a["w"] * a["h"] + b["w"] * b["h"])
+
+
+def iou_of(inner: Column, areas: Column) -> Column:
+    """The same from the intersection and the sum of both areas, as columns that need not be evaluated again."""
+    union = areas - inner
     return F.when(union > 0, inner / F.when(union > 0, union).otherwise(1.0)).otherwise(0.0)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from calibra.functions.geometry import box, iou
+from calibra.functions.geometry import box, iou, iou_of, overlap
 from calibra.functions.scalars import ratio, wilson
 from calibra.operators.ranges import running
 
@@ -18,13 +18,19 @@ MISSED, BACKGROUND = "missed", "background"
 MIN_IOU = 0.5
 
 
-def _fold(preds: Column, gts: Column) -> Column:
-    """For each prediction, in the given order, the place of its box in gts or null."""
+def _overlapping(gts: Column, p: Column) -> Column:
+    """iou and idx of the boxes that a prediction may take. Each overlap is evaluated once; most boxes have none."""
+    met = F.transform(gts, lambda g: F.struct(overlap(g["box"], p["box"]).alias("inner"), (g["box"]["w"] * g["box"]["h"] + p["box"]["w"] * p["box"]["h"]).alias("areas"), g["idx"].alias("idx")))
+    met = F.transform(F.filter(met, lambda m: m["inner"] > 0), lambda m: F.struct(iou_of(m["inner"], m["areas"]).alias("iou"), m["idx"].alias("idx")))
+    return F.filter(met, lambda m: m["iou"] >= MIN_IOU)
 
-    def step(acc: Column, p: Column) -> Column:
-        free = F.filter(gts, lambda g: ~F.array_contains(acc["used"], g["idx"]) & (iou(g["box"], p["box"]) >= MIN_IOU))
+
+def fold(preds: Column, gts: Column) -> Column:
+    """For each of preds(box), in the given order, the idx of the one of gts(idx, box) that it takes, or null."""
+
+    def step(acc: Column, some: Column) -> Column:
         # Of equal overlaps the highest index wins.
-        best = F.array_max(F.transform(free, lambda g: F.struct(iou(g["box"], p["box"]).alias("iou"), g["idx"].alias("idx"))))
+        best = F.array_max(F.filter(some, lambda m: ~F.array_contains(acc["used"], m["idx"])))
         return F.get(
             F.transform(
                 F.array(best),
@@ -37,7 +43,7 @@ def _fold(preds: Column, gts: Column) -> Column:
         )
 
     empty = F.array().cast("array<bigint>")
-    return F.aggregate(preds, F.struct(empty.alias("used"), empty.alias("out")), step, lambda acc: acc["out"])
+    return F.aggregate(F.transform(preds, lambda p: _overlapping(gts, p)), F.struct(empty.alias("used"), empty.alias("out")), step, lambda acc: acc["out"])
 
 
 def match(gt: DataFrame, pred: DataFrame, by_class: bool = False) -> DataFrame:
@@ -51,7 +57,7 @@ def match(gt: DataFrame, pred: DataFrame, by_class: bool = False) -> DataFrame:
     g = gt.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("gt_idx").cast("long").alias("idx"), F.col("cls").alias("c"), box().alias("box")))).alias("gts"))
     p = pred.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col("conf")).alias("rank"), F.col("pred_idx"), F.col("cls").alias("c"), F.col("conf"), box().alias("box")))).alias("preds"))
     both = p.join(g, keys, "left").withColumn("gts", F.coalesce("gts", F.expr("array()").cast(g.schema["gts"].dataType)))
-    both = both.withColumn("taken", _fold(F.col("preds"), F.col("gts")))
+    both = both.withColumn("taken", fold(F.col("preds"), F.col("gts")))
     rows = both.select("image", "gts", F.explode(F.arrays_zip("preds", "taken")).alias("r"))
     true = F.get(F.filter("gts", lambda g: g["idx"] == F.col("r.taken")), F.lit(0))["c"]
     return rows.select("image", F.col("r.preds.pred_idx").alias("pred_idx"), F.col("r.preds.c").alias("cls"), F.col("r.preds.conf").alias("conf"), F.col("r.taken").alias("gt_idx"), true.alias("true_cls"))

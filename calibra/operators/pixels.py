@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,13 +16,21 @@ from calibra.operators.batches import pictures_of
 WHITE = np.array([0.95047, 1.0, 1.08883])
 EPS, KAPPA = 216 / 24389, 24389 / 27
 RGB_TO_XYZ = np.array([[0.4124564, 0.3575761, 0.1804375], [0.2126729, 0.7151522, 0.0721750], [0.0193339, 0.1191920, 0.9503041]])
+XYZ_TO_RGB = np.linalg.inv(RGB_TO_XYZ)
 #: Ring: a quarter of the longer side, at least eight pixels; it needs so many pixels. Core: the middle share.
 RING_SHARE, RING_LEAST, RING_PIXELS, CORE = 0.25, 8.0, 150, 0.6
 
 
+def _linear(c: np.ndarray) -> np.ndarray:
+    return np.where(c <= 0.04045, c / 12.92, ((c + 0.055) / 1.055) ** 2.4)
+
+
+#: Linear light of each of the 256 values of a byte.
+_OF_BYTE = _linear(np.arange(256) / 255)
+
+
 def to_lab(rgb: np.ndarray) -> np.ndarray:
-    c = rgb.astype(float) / 255
-    linear = np.where(c <= 0.04045, c / 12.92, ((c + 0.055) / 1.055) ** 2.4)
+    linear = _OF_BYTE[rgb] if rgb.dtype == np.uint8 else _linear(rgb.astype(float) / 255)
     t = linear @ RGB_TO_XYZ.T / WHITE
     f = np.where(t > EPS, np.cbrt(t), (KAPPA * t + 16) / 116)
     return np.stack([116 * f[..., 1] - 16, 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])], axis=-1)
@@ -31,8 +40,9 @@ def to_rgb(lab: np.ndarray) -> np.ndarray:
     """The inverse, in 0 to 255 and not cut off."""
     fy = (lab[..., 0] + 16) / 116
     f = np.stack([fy + lab[..., 1] / 500, fy, fy - lab[..., 2] / 200], axis=-1)
-    t = np.where(f**3 > EPS, f**3, (116 * f - 16) / KAPPA)
-    linear = t * WHITE @ np.linalg.inv(RGB_TO_XYZ).T
+    cubes = f * f * f
+    t = np.where(cubes > EPS, cubes, (116 * f - 16) / KAPPA)
+    linear = t * WHITE @ XYZ_TO_RGB.T
     c = np.where(linear <= 0.0031308, 12.92 * linear, 1.055 * np.maximum(linear, 0.0031308) ** (1 / 2.4) - 0.055)
     return c * 255
 
@@ -58,46 +68,82 @@ def rgb_columns(l: Column, a: Column, b: Column) -> Column:
     return F.struct(*[v.alias(n) for v, n in zip(out, "rgb", strict=True)])
 
 
+def _span(size: int, at: float, length: float) -> slice:
+    """Of so many pixels in a row, those whose centres lie from `at` on over a length."""
+    first, last = at - 0.5, at + length - 0.5
+    if first != first or last != last:
+        return slice(0, 0)
+    start, stop = (0 if v <= 0 else size if v >= size else math.ceil(v) for v in (first, last))
+    return slice(start, max(start, stop))
+
+
+def place(shape: tuple[int, int], box: tuple[float, float, float, float]) -> tuple[slice, slice]:
+    """Rows and columns of the pixels whose centres lie in a box."""
+    x, y, w, h = box
+    return _span(shape[0], y, h), _span(shape[1], x, w)
+
+
 def inside(shape: tuple[int, int], box: tuple[float, float, float, float]) -> np.ndarray:
     """Pixels whose centres lie in a box."""
+    out = np.zeros(shape, bool)
+    out[place(shape, box)] = True
+    return out
+
+
+def around(box: tuple[float, float, float, float]) -> tuple[float, float, float, float]:
+    """A box and its ring."""
     x, y, w, h = box
-    ys, xs = np.arange(shape[0]) + 0.5, np.arange(shape[1]) + 0.5
-    return ((ys >= y) & (ys < y + h))[:, None] & ((xs >= x) & (xs < x + w))[None, :]
+    m = max(RING_LEAST, RING_SHARE * max(w, h))
+    return x - m, y - m, w + 2 * m, h + 2 * m
 
 
 def ring(shape, box, boxes) -> np.ndarray:
     """What surrounds a box, without any labelled box."""
-    x, y, w, h = box
-    m = max(RING_LEAST, RING_SHARE * max(w, h))
-    out = inside(shape, (x - m, y - m, w + 2 * m, h + 2 * m))
+    out = inside(shape, around(box))
     for b in boxes:
-        out &= ~inside(shape, b)
+        out[place(shape, b)] = False
     return out
 
 
-def core(shape, box) -> np.ndarray:
+def middle(box: tuple[float, float, float, float]) -> tuple[float, float, float, float]:
+    """The middle share of a box."""
     x, y, w, h = box
-    return inside(shape, (x + w * (1 - CORE) / 2, y + h * (1 - CORE) / 2, w * CORE, h * CORE))
+    return x + w * (1 - CORE) / 2, y + h * (1 - CORE) / 2, w * CORE, h * CORE
+
+
+def core(shape, box) -> np.ndarray:
+    return inside(shape, middle(box))
 
 
 def outside(rgb: np.ndarray, boxes) -> np.ndarray:
     """Everything outside the boxes but pure black."""
-    out = rgb.max(axis=-1) > 0
+    out = rgb.any(axis=-1)
     for b in boxes:
-        out &= ~inside(rgb.shape[:2], b)
+        out[place(rgb.shape[:2], b)] = False
     return out
 
 
+def median(values: np.ndarray) -> float:
+    """The median of at least one number, as np.median gives it."""
+    values, n = np.sort(values), len(values)
+    return float(values[n // 2]) if n % 2 else float((values[n // 2 - 1] + values[n // 2]) / 2)
+
+
 def recolour(rgb: np.ndarray, mask: np.ndarray, target: tuple[float, float] | None) -> tuple[np.ndarray, float]:
     """The picture with a* and b* set to a target under the mask, or sent there and back without one; and the clipped share.
 
     Lightness and unmasked pixels stay. Halves round to even.
     """
+    return recoloured(rgb, mask, to_lab(rgb[mask]), target)
+
+
+def recoloured(rgb: np.ndarray, mask: np.ndarray, lab: np.ndarray, target: tuple[float, float] | None) -> tuple[np.ndarray, float]:
+    """recolour(), with the masked pixels' colours, which it leaves as they are."""
     out = rgb.copy()
-    if not mask.any():
+    if not len(lab):
         return out, 0.0
-    lab = to_lab(rgb[mask])
     if target is not None:
+        lab = lab.copy()
         lab[:, 1], lab[:, 2] = target
     fresh = np.rint(to_rgb(lab))
     out[mask] = np.clip(fresh, 0, 255).astype(np.uint8)
@@ -118,17 +164,24 @@ def masked_by(kind: str, rgb: np.ndarray, box, boxes) -> np.ndarray:
     """The pixels that a kind of arm changes: those around a box that are not black, or all outside the boxes."""
     if kind == "whole":
         return outside(rgb, boxes)
-    return ring(rgb.shape[:2], box, boxes) & (rgb.max(axis=-1) > 0)
+    return ring(rgb.shape[:2], box, boxes) & rgb.any(axis=-1)
 
 
 def arm_pictures(rgb: np.ndarray, box, boxes, arms: list[str], targets: dict[str, tuple[float, float]]) -> Iterator[tuple[str, np.ndarray, float]]:
-    """Each arm with its altered picture and the share of changed pixels that was clipped. Arms with one mask share it."""
+    """Each arm with its altered picture and the share of changed pixels that was clipped. Arms with one mask share it and its colours."""
     masks = {kind: masked_by(kind, rgb, box, boxes) for kind in sorted({ARMS[a][0] for a in arms})}
+    labs = {kind: to_lab(rgb[mask]) for kind, mask in masks.items()}
+    made: dict[tuple, tuple[np.ndarray, float]] = {}
     for arm in arms:
         kind, colour = ARMS[arm]
-        yield arm, *recolour(rgb, masks[kind], None if colour is None else targets[colour])
+        if ARMS[arm] not in made:
+            made[ARMS[arm]] = recoloured(rgb, masks[kind], labs[kind], None if colour is None else targets[colour])
+        altered, clipped = made[ARMS[arm]]
+        yield arm, altered.copy(), clipped
 
 
+#: Rows that a task sends on together.
+HELD = 4096
 MEASURES = "image string, box int, ring_pixels int, ring_a double, ring_b double, plate_chroma double"
 
 
@@ -139,20 +192,39 @@ def measure(pictures: DataFrame, target: Callable[[str], bool] | None = None) ->
     is an error. `target` picks the classes that are measured; pictures without one should be dropped before.
     """
 
+    def measured(rgb: np.ndarray, kinds: list[str], boxes: list[tuple]) -> Iterator[tuple]:
+        shape = rgb.shape[:2]
+        free, wanted = outside(rgb, boxes), [i for i, k in enumerate(kinds) if target is None or target(k)]
+        rings, cores = [[place(shape, part(boxes[i])) for i in wanted] for part in (around, middle)]
+        # Only pixels of a ring or a core need their colour.
+        need = np.zeros(shape, bool)
+        for at in rings:
+            need[at] = True
+        need &= free
+        for at in cores:
+            need[at] = True
+        lab, a, b = to_lab(rgb[need]), np.empty(shape), np.empty(shape)
+        a[need], b[need] = lab[:, 1], lab[:, 2]
+        for i, wide, mid in zip(wanted, rings, cores, strict=True):
+            shown = free[wide]
+            n = int(np.count_nonzero(shown))
+            chroma = np.hypot(a[mid], b[mid]).ravel()
+            yield i, n, *((median(a[wide][shown]), median(b[wide][shown])) if n >= RING_PIXELS else (None, None)), median(chroma) if len(chroma) else None
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [f.split()[0] for f in MEASURES.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
         for image, rgb, other in pictures_of(batches):
-            out = []
-            lab, shown = to_lab(rgb), rgb.max(axis=-1) > 0
             boxes = [(b["x"], b["y"], b["w"], b["h"]) for b in other["boxes"]]
-            for i, b in enumerate(other["boxes"]):
-                if target is None or target(b["cls"]):
-                    around, middle = ring(rgb.shape[:2], boxes[i], boxes) & shown, core(rgb.shape[:2], boxes[i])
-                    n = int(around.sum())
-                    a, bb = np.median(lab[around][:, 1:], axis=0) if n >= RING_PIXELS else (None, None)
-                    chroma = float(np.median(np.hypot(lab[middle][:, 1], lab[middle][:, 2]))) if middle.any() else None
-                    out.append((image, i, n, None if a is None else float(a), None if bb is None else float(bb), chroma))
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], [f.split()[0] for f in MEASURES.split(", ")])
+            out += [(image, *m) for m in measured(rgb, [b["cls"] for b in other["boxes"]], boxes)]
+            if len(out) >= HELD:
+                yield packed(out)
+                out = []
+        if out:
+            yield packed(out)
 
     return pictures.select("image", "width", "height", "data", "boxes").mapInArrow(run, MEASURES)
 
@@ -177,22 +249,51 @@ def predict(pictures: DataFrame, model: Model) -> DataFrame:
     return pictures.select("image", "width", "height", "data").mapInArrow(run, DETECTIONS)
 
 
-def predict_arms(pictures: DataFrame, targets: dict[str, tuple[float, float]], model: Model) -> DataFrame:
-    """Detections on each picture as each of its arms alters it: arm, clipped and the columns of predict().
+#: One detection of those of a picture.
+FOUND = "struct<pred_idx: bigint, cls: string, conf: double, x: double, y: double, w: double, h: double>"
+
+
+def read_arms(pictures: DataFrame, targets: dict[str, tuple[float, float]], model: Model) -> DataFrame:
+    """Detections on each picture as each of its arms alters it, a row for each arm: image, boxes, target, arm, clipped, found (an array).
 
     pictures has image, width, height, data, boxes, target (the place of the box that the arms are about) and arms (names
     of ARMS). A picture is decoded once and its altered forms are made, read and dropped one after the other; none is
-    stored. Each arm has a row without a class too, pred_idx -1, so that arms without a detection keep their clipped share.
+    stored.
     """
-    names = ["arm", "clipped", *(f.split()[0] for f in DETECTIONS.split(", "))]
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        images, boxes, at, arms, clipped, found = zip(*rows, strict=True)
+        ends = np.concatenate([[0], np.cumsum([len(f) for f in found])])
+        flat = [d for f in found for d in f]
+        idx = np.arange(ends[-1]) - np.repeat(ends[:-1], np.diff(ends))
+        numbers = np.array([d[1:6] for d in flat], float).reshape(-1, 5)
+        fields = [pa.array(idx), pa.array([d[0] for d in flat], pa.string()), *(pa.array(np.ascontiguousarray(c)) for c in numbers.T)]
+        each = pa.StructArray.from_arrays(fields, ["pred_idx", "cls", "conf", "x", "y", "w", "h"])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)
+        kind = pa.list_(pa.struct([("cls", pa.string()), *((c, pa.float64()) for c in "xywh")]))
+        return pa.RecordBatch.from_arrays([pa.array(images, pa.string()), pa.array(boxes, kind), pa.array(at, pa.int32()), pa.array(arms, pa.string()), pa.array(clipped, pa.float64()), lists], ["image", "boxes", "target", "arm", "clipped", "found"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for image, rgb, other in pictures_of(batches):
             boxes = [(b["x"], b["y"], b["w"], b["h"]) for b in other["boxes"]]
             for arm, altered, clipped in arm_pictures(rgb, boxes[other["target"]], boxes, other["arms"], targets):
-                found = model(altered)
-                columns = [pa.concat_arrays([pa.array([v], c.type), c]) for v, c in zip((-1, None, 0.0, 0.0, 0.0, 0.0, 0.0), _detections(found), strict=True)]
-                n = len(found) + 1
-                yield pa.RecordBatch.from_arrays([pa.array([arm] * n), pa.array([clipped] * n), pa.array([image] * n), *columns], names)
+                rows.append((image, other["boxes"], other["target"], arm, clipped, model(altered)))
+            if len(rows) >= HELD // 8:
+                yield packed(rows)
+                rows = []
+        if rows:
+            yield packed(rows)
+
+    fields = "array<struct<cls: string, x: double, y: double, w: double, h: double>>"
+    return pictures.select("image", "width", "height", "data", "boxes", "target", "arms").mapInArrow(run, f"image string, boxes {fields}, target int, arm string, clipped double, found array<{FOUND}>")
 
-    return pictures.select("image", "width", "height", "data", "boxes", "target", "arms").mapInArrow(run, f"arm string, clipped double, {DETECTIONS}")
+
+def predict_arms(pictures: DataFrame, targets: dict[str, tuple[float, float]], model: Model) -> DataFrame:
+    """read_arms() with a row for each detection: arm, clipped and the columns of predict().
+
+    Each arm has a row without a class too, pred_idx -1, so that arms without a detection keep their clipped share.
+    """
+    none = F.struct(F.lit(-1).cast("long").alias("pred_idx"), F.lit(None).cast("string").alias("cls"), *[F.lit(0.0).alias(c) for c in ("conf", *"xywh")])
+    rows = read_arms(pictures, targets, model).select("arm", "clipped", "image", F.explode(F.concat(F.array(none), "found")).alias("d"))
+    return rows.select("arm", "clipped", "image", "d.*")

@@ -92,3 +92,12 @@ def test_hashes_of_a_table_and_of_files(spark, tmp_path):
     (tmp_path / "grey" / "c.png").write_bytes(b"no picture")
     with pytest.raises(Exception, match="cannot be read"):
         D.read_pictures(spark, str(tmp_path / "grey")).collect()
+
+
+def test_pictures_of_several_sizes_hash_together_as_alone(spark):
+    rng = np.random.default_rng(5)
+    some = [rng.integers(0, 256, (h, w, 3)).astype(np.uint8) for h, w in ((48, 64), (48, 64), (64, 48), (48, 64), (30, 20))]
+    assert H.hashes_of(np.stack([some[0], some[1], some[3]])) == [plain_hash(some[i]) for i in (0, 1, 3)]
+    rows = [(str(i), p.shape[1], p.shape[0], bytearray(p.tobytes())) for i, p in enumerate(some)]
+    frame = spark.createDataFrame(rows, "image string, width int, height int, data binary")
+    assert {r.image: r.phash for r in H.perceptual_hash(frame).collect()} == {str(i): plain_hash(p) for i, p in enumerate(some)}

@@ -136,3 +136,17 @@ def test_epochs_medians_and_streams(spark, tmp_path):
     q.awaitTermination(120)
     assert sorted(r.events for r in spark.table("live").collect()) == [1, 2]
     assert live_outcomes(spark.createDataFrame([("a", "b"), ("a", "b")], "truth string, pred string")).first().n == 2
+
+
+def test_arms_in_one_row_each_hold_what_predict_arms_explodes(spark):
+    rgb = np.random.default_rng(3).integers(0, 256, (40, 60, 3)).astype(np.uint8)
+    model = lambda p: [("a", float(p.mean()) / 255, 1.0, 2.0, 3.0, 4.0), ("b", 0.5, 0.0, 0.0, 1.0, 1.0)]
+    columns = "image string, width int, height int, data binary, boxes array<struct<cls: string, x: double, y: double, w: double, h: double>>, target int, arms array<string>"
+    frame = spark.createDataFrame([("p", 60, 40, bytearray(rgb.tobytes()), [("a", 20.0, 15.0, 8.0, 6.0)], 0, ["ring", "sham", "whole"])], columns)
+    targets = {"blue": (5.0, -30.0), "yellow": (0.0, 45.0)}
+    nested = {r.arm: r for r in P.read_arms(frame, targets, model).collect()}
+    flat = P.predict_arms(frame, targets, model).collect()
+    for arm, altered, clipped in P.arm_pictures(rgb, (20.0, 15.0, 8.0, 6.0), [(20.0, 15.0, 8.0, 6.0)], ["ring", "sham", "whole"], targets):
+        assert nested[arm].clipped == clipped and [tuple(d)[1:] for d in nested[arm].found] == model(altered)
+        assert [(r.pred_idx, r.cls) for r in flat if r.arm == arm] == [(-1, None), (0, "a"), (1, "b")]
+    assert P.to_lab(rgb) == pytest.approx(P.to_lab(rgb.astype(float)), abs=1e-12)

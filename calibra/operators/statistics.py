@@ -53,8 +53,9 @@ def group_sizes(rows: DataFrame, cluster: str) -> DataFrame:
     return rows.groupBy("grp").agg(F.count("value").alias("boxes"), F.count_distinct(F.when(F.col("value").isNotNull(), F.col(cluster))).alias("images"), F.count_if(F.col("value").isNull()).alias("unmeasurable"))
 
 
-#: Draws that one task makes from a stored state of the generator.
+#: Draws that one task makes from a stored state of the generator, and draws of all resamples that every task may hold.
 DRAWS = 1 << 20
+MOST_SENT = 1 << 20
 
 
 def generator_blocks(seed: int, draws: int, block: int) -> Iterator[tuple[int, int, bytes]]:
@@ -107,7 +108,11 @@ def bootstrap_auc(rows: DataFrame, positive: str, negative: str, cluster: str, r
     n = places.count()
     placed = values.join(places, values[cluster].eqNullSafe(places["_cluster"])).select("place", SLICE, "value", "p", "q")
     drawn = resamples(rows.sparkSession, n, reps, seed)
-    counts = drawn.join(placed, "place").groupBy("rep", SLICE, "value").agg(F.sum(F.col("times") * F.col("p")).alias("p"), F.sum(F.col("times") * F.col("q")).alias("q"))
+    if n * reps <= MOST_SENT:
+        # Each range of values stays in one task, from the join over the counts to their sums.
+        slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        placed, drawn = placed.repartition(slices, SLICE), F.broadcast(drawn)
+    counts = placed.join(drawn, "place").groupBy("rep", SLICE, "value").agg(F.sum(F.col("times") * F.col("p")).alias("p"), F.sum(F.col("times") * F.col("q")).alias("q"))
     found = _auc_of_counts(counts, ["rep"])
     q = lambda p: F.percentile("auc", F.lit(p))
     found = found.filter(~F.isnan("auc")).agg(q(0.025).alias("low"), q(0.975).alias("high"), F.count("auc").alias("used"))

@@ -1,6 +1,7 @@
 import json
 import math
 import random
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -150,3 +151,14 @@ def test_arms_in_one_row_each_hold_what_predict_arms_explodes(spark):
         assert nested[arm].clipped == clipped and [tuple(d)[1:] for d in nested[arm].found] == model(altered)
         assert [(r.pred_idx, r.cls) for r in flat if r.arm == arm] == [(-1, None), (0, "a"), (1, "b")]
     assert P.to_lab(rgb) == pytest.approx(P.to_lab(rgb.astype(float)), abs=1e-12)
+
+
+def test_bootstrap_keeps_ranges_of_values_apart(spark, monkeypatch):
+    """The counts stay in the ranges' partitions, without a shuffle by resample, and are the same with one."""
+    rows = spark.range(600).selectExpr("if(id % 3 = 0, 'a', 'b') AS grp", "CAST((id * 37) % 101 AS DOUBLE) AS value", "id % 7 AS image")
+    few = X.bootstrap_auc(rows, "a", "b", "image", 20, 5)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(rep#\d+L?, _slice#\d+", plan) and re.search(r"hashpartitioning\(_slice#\d+", plan)
+    one = few.first()
+    monkeypatch.setattr(X, "MOST_SENT", 0)
+    assert tuple(one) == pytest.approx(tuple(X.bootstrap_auc(rows, "a", "b", "image", 20, 5).first()))

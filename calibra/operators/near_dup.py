@@ -1,10 +1,13 @@
-"""Near-duplicate hashes by an exact join over bands, and what leaks between splits."""
+"""Near-duplicate hashes by an exact join, over bands or between parts of all hashes, and what leaks between splits."""
 
 from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,10 @@ from calibra.operators.sessions import spread
 
 #: Look-ups of one hash in all bands, at most. A row looked up costs about as much as this many compared pairs.
 MOST_PROBES, PROBE_COST = 20_000, 3
+#: Hashes of a part, how many of them meet another part's at once, and the most parts: of more hashes parts are greater, as
+#: each is sent once for every part. A pair that is met there costs as much, for each 64 bits, as so many of the pairs that a
+#: join over bands compares.
+TILE, STEP, PARTS, TILE_COST = 8192, 16, 128, 0.05
 
 
 def ball(width: int, radius: int) -> int:
@@ -29,6 +36,10 @@ def band_plan(total_bits: int, max_bits: int, n: int) -> list[tuple[int, int, in
     with 1 to max_bits + 1 bands the one with the least expected cost for n random hashes is taken. Of a band that a long
     does not hold, 62 bits are used: they differ in no more bits than the band.
     """
+    return _cheapest(total_bits, max_bits, n)[1]
+
+
+def _cheapest(total_bits: int, max_bits: int, n: int) -> tuple[float, list[tuple[int, int, int]]]:
     best = None
     for bands in range(1, min(max_bits + 1, total_bits) + 1):
         edges = [total_bits * b // bands for b in range(bands + 1)]
@@ -39,7 +50,16 @@ def band_plan(total_bits: int, max_bits: int, n: int) -> list[tuple[int, int, in
         cost = PROBE_COST * n * sum(looked_up) + n * n / 2 * sum(v / 2**w for v, (_, w, _) in zip(looked_up, plan, strict=True))
         if best is None or cost < best[0]:
             best = cost, plan
-    return best[1]
+    return best
+
+
+def in_tiles(total_bits: int, max_bits: int, n: int) -> bool:
+    """Whether n hashes meet all others part by part for less than what a join over bands costs.
+
+    Radii that are wide for the bits leave bands so few pairs to part that looking up costs more: of 64 bits at 16 that
+    holds for any number of hashes, of 256 at 20 for hundreds.
+    """
+    return TILE_COST * -(-total_bits // 64) * n * n / 2 <= _cheapest(total_bits, max_bits, n)[0]
 
 
 def band_value(words: Column, first: int, width: int) -> Column:
@@ -96,6 +116,61 @@ def _kinds(members: DataFrame) -> DataFrame:
     return members.filter("id = rep").select("rep", "words").distinct()
 
 
+def _met(group: pa.Table, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in a group of one or two parts, and differing bits, of its near pairs: within the part, or between the two."""
+    words = group.column("words").combine_chunks()
+    words = words.flatten().to_numpy().reshape(len(words), -1).astype(np.uint64)
+    if words.shape[1] % 2:
+        words = np.pad(words, ((0, 0), (1, 0)))
+    hashes = (words[:, ::2] << np.uint64(32) | words[:, 1::2]).T.copy()
+    part, first = group.column("part").to_numpy(), group.column("one")[0].as_py()
+    whole = first == group.column("two")[0].as_py()
+    left = np.flatnonzero(part == first)
+    right = left if whole else np.flatnonzero(part != first)
+    step = max(1, min(STEP, STEP * TILE // max(1, len(right))))
+    for k in range(0, len(left), step):
+        own, others = left[k : k + step], right[k:] if whole else right
+        dist = np.zeros((len(own), len(others)), np.uint8 if len(hashes) < 4 else np.uint16)
+        for h in hashes:
+            dist += np.bitwise_count(h[own][:, None] ^ h[others])
+        i, j = np.divmod(np.flatnonzero(dist.ravel() <= max_bits), len(others))
+        if whole:
+            i, j = i[j > i], j[j > i]
+        if len(i):
+            yield own[i], others[j], dist[i, j]
+
+
+def _links_met(max_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of the near pairs of a group those that join two of its components, so fewer than it has hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches)
+        rep, label = group.column("rep").combine_chunks(), np.arange(group.num_rows)
+        for i, j, _ in _met(group, max_bits):
+            while len(i := i[apart := label[i] != label[j]]):
+                j = j[apart]
+                # Each label goes under one lower one that it meets: no ring, and one component less for each link.
+                high, at = np.unique(np.maximum(label[i], label[j]), return_index=True)
+                yield pa.RecordBatch.from_arrays([rep.take(pa.array(i[at])), rep.take(pa.array(j[at]))], ["a", "b"])
+                under = np.arange(len(label))
+                under[high] = np.minimum(label[i], label[j])[at]
+                while (further := under[under]).tolist() != under.tolist():
+                    under = further
+                label = under[label]
+
+    return run
+
+
+def _tiled(kinds: DataFrame, n: int, run: Callable, others: str) -> DataFrame:
+    """What run finds between all n hashes, dealt to parts: each part and each two meet in a group of their own."""
+    parts = max(1, min(PARTS, -(-n // TILE)))
+    part = F.pmod(F.xxhash64("words"), F.lit(parts)).cast("int")
+    dealt = kinds.filter(~F.exists("words", lambda w: w.isNull())).withColumns({"part": part, "other": F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))})
+    groups = dealt.select(F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "rep", "words")
+    kind = kinds.schema["rep"].dataType.simpleString()
+    return groups.repartition(min(2000, parts * (parts + 1)), "one", "two").groupBy("one", "two").applyInArrow(run, f"a {kind}, b {kind}{others}")
+
+
 def hamming_pairs(members: DataFrame, total_bits: int, max_bits: int) -> DataFrame:
     """All pairs of distinct hashes of classes() that differ in at most max_bits bits: a < b, dist; equal ones are members.
 
@@ -103,7 +178,8 @@ def hamming_pairs(members: DataFrame, total_bits: int, max_bits: int) -> DataFra
     within the band's radius. band_plan chooses the bands by the number of hashes. Each pair comes once.
     """
     kinds = _kinds(members)
-    plan = band_plan(total_bits, max_bits, kinds.count())
+    n = kinds.count()
+    plan = band_plan(total_bits, max_bits, n)
     met = _plain(kinds, plan).join(_probing(kinds, plan), "k")
     dist = _distance(total_bits).cast("long")
     return met.filter((F.col("a") < F.col("b")) & (dist <= max_bits) & (F.col("k.b") == _first_band(plan))).select("a", "b", dist.alias("dist"))
@@ -114,11 +190,15 @@ def hamming_links(members: DataFrame, total_bits: int, max_bits: int) -> DataFra
 
     In a group of thousands of near hashes not all pairs are made: those under one value of a band first meet the least
     of them, and only values under which several components are left have their other pairs compared, between components.
+    Where all hashes meet part by part instead (in_tiles), two parts put out only what joins components of theirs.
     """
     kinds = _kinds(members)
-    use_checkpoints(members.sparkSession)
-    plan = band_plan(total_bits, max_bits, kinds.count())
+    n = kinds.count()
     copies = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    if in_tiles(total_bits, max_bits, n):
+        return _tiled(kinds, n, _links_met(max_bits), "").unionByName(copies)
+    use_checkpoints(members.sparkSession)
+    plan = band_plan(total_bits, max_bits, n)
     plain, probing = _plain(kinds, plan), _probing(kinds, plan)
     near = lambda met: met.filter((F.col("a") != F.col("b")) & (_distance(total_bits) <= max_bits))
     heads = plain.groupBy("k").agg(F.min_by(F.struct("a", "wa"), "a").alias("h")).select("k", "h.a", "h.wa")

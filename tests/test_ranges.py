@@ -91,6 +91,54 @@ def test_links_have_the_components_of_all_pairs(spark):
     assert components(len(bits), links) == components(len(bits), pairs) and len(links) < len(pairs) / 2
 
 
+@pytest.mark.parametrize("bits, most", [(64, 16), (96, 20), (256, 60)])
+def test_hashes_meet_part_by_part(spark, monkeypatch, bits, most):
+    """Several parts and steps, ids of text: all pairs once, and of the links fewer than two parts have hashes."""
+    monkeypatch.setattr(N, "TILE", 40)
+    monkeypatch.setattr(N, "STEP", 7)
+    rng = np.random.default_rng(bits)
+    crowd = rng.integers(0, 2, bits) ^ (rng.random((80, bits)) < 0.08)
+    base = rng.integers(0, 2, (40, bits))
+    rows = np.concatenate([crowd, base, base ^ (rng.random(base.shape) < 0.15), 1 - base[:3], crowd[:5]]).astype(int)
+    assert N.in_tiles(bits, most, len(rows))
+    words = [[int("".join(map(str, r[k : k + 32])), 2) for k in range(0, bits, 32)] for r in rows]
+    members = N.classes(spark.createDataFrame([(f"p{i:03d}", w) for i, w in enumerate(words)], "id string, words array<long>"))
+    dist = (rows[:, None] != rows[None]).sum(axis=2)
+    alike = [(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if dist[i, j] <= most]
+    first = {i: int(np.flatnonzero(dist[i] == 0)[0]) for i in range(len(rows))}
+    got = [(int(r.a[1:]), int(r.b[1:]), r.dist) for r in N.hamming_pairs(members, bits, most).collect()]
+    assert sorted(got) == sorted((i, j, int(dist[i, j])) for i, j in alike if first[i] == i and first[j] == j) and len(got) > 3000
+    links = [(int(r.a[1:]), int(r.b[1:])) for r in N.hamming_links(members, bits, most).collect()]
+    parts = -(-len(set(first.values())) // 40)
+    assert all(dist[a, b] <= most for a, b in links) and len(links) <= parts * len(rows)
+    assert components(len(rows), links) == components(len(rows), alike)
+
+
+def test_many_hashes_with_a_wide_radius_are_not_looked_up(spark):
+    """100,000 hashes of 64 bits at 16 had 1,019 look-ups each, and as many rows in a shuffle."""
+    assert all(N.in_tiles(64, 16, n) for n in (1, 1000, 100_000, 600_000))
+    assert not N.in_tiles(256, 20, 10_000)
+    rng = np.random.default_rng(3)
+    members = N.classes(spark.createDataFrame([(i, [int(w) for w in rng.integers(0, 2**32, 2)]) for i in range(3000)], "id long, words array<long>"))
+    for found in (N.hamming_links(members, 64, 16),):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "transform(" not in plan and "Join Inner, (k" not in plan
+
+
+@pytest.mark.parametrize("planned", [2_000, 20_000])
+def test_bands_find_what_parts_find(spark, monkeypatch, planned):
+    rng = np.random.default_rng(planned)
+    base = rng.integers(0, 2, (30, 64))
+    rows = np.concatenate([base, base ^ (rng.random(base.shape) < 0.15), base ^ (rng.random(base.shape) < 0.25), base[0] ^ (rng.random((50, 64)) < 0.05)])
+    members = N.classes(spark.createDataFrame([(i, [int("".join(map(str, r[k : k + 32])), 2) for k in (0, 32)]) for i, r in enumerate(rows)], "id long, words array<long>"))
+    found = lambda f: [tuple(r) for r in f(members, 64, 16).collect()]
+    pairs, links, real = found(N.hamming_pairs), found(N.hamming_links), N.band_plan
+    monkeypatch.setattr(N, "in_tiles", lambda total, most, n: False)
+    monkeypatch.setattr(N, "band_plan", lambda total, most, n: real(total, most, planned))
+    assert sorted(found(N.hamming_pairs)) == sorted(pairs)
+    assert components(len(rows), found(N.hamming_links)) == components(len(rows), links)
+
+
 def test_resamples_from_stored_states_are_those_of_one_generator(spark):
     drawing, want = random.Random(11), {}
     for rep in range(40):

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,6 +141,20 @@ def _met(group: pa.Table, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarra
             yield own[i], others[j], dist[i, j]
 
 
+def _pairs_met(max_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The near pairs of a group, a step at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches)
+        rep = group.column("rep").combine_chunks()
+        for i, j, dist in _met(group, max_bits):
+            a, b = rep.take(pa.array(i)), rep.take(pa.array(j))
+            less = pc.less(a, b)
+            yield pa.RecordBatch.from_arrays([pc.if_else(less, a, b), pc.if_else(less, b, a), pa.array(dist.astype(np.int64))], ["a", "b", "dist"])
+
+    return run
+
+
 def _links_met(max_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of the near pairs of a group those that join two of its components, so fewer than it has hashes."""
 
@@ -174,11 +189,14 @@ def _tiled(kinds: DataFrame, n: int, run: Callable, others: str) -> DataFrame:
 def hamming_pairs(members: DataFrame, total_bits: int, max_bits: int) -> DataFrame:
     """All pairs of distinct hashes of classes() that differ in at most max_bits bits: a < b, dist; equal ones are members.
 
-    An index over several bands: the one side stands under its own bits of each, the other is looked up under every value
-    within the band's radius. band_plan chooses the bands by the number of hashes. Each pair comes once.
+    Parts of all hashes meet each other where that costs less (in_tiles). Else an index over several bands: the one side
+    stands under its own bits of each, the other is looked up under every value within the band's radius. band_plan chooses
+    the bands by the number of hashes. Each pair comes once.
     """
     kinds = _kinds(members)
     n = kinds.count()
+    if in_tiles(total_bits, max_bits, n):
+        return _tiled(kinds, n, _pairs_met(max_bits), ", dist long")
     plan = band_plan(total_bits, max_bits, n)
     met = _plain(kinds, plan).join(_probing(kinds, plan), "k")
     dist = _distance(total_bits).cast("long")
@@ -237,7 +255,8 @@ def leakage(members: DataFrame, pairs: DataFrame, splits: DataFrame) -> DataFram
     Twins are counted by hash and split, so copies in thousands are a row for each split.
     """
     n = _counts(members, splits)
-    ends = pairs.select("a", "b", "dist").union(pairs.select("b", "a", "dist")).toDF("rep", "twin", "dist")
+    end = lambda a, b: F.struct(F.col(a).alias("rep"), F.col(b).alias("twin"), "dist")
+    ends = pairs.select(F.inline(F.array(end("a", "b"), end("b", "a"))))
     own = n.select("rep", "split")
     seen = own.join(ends, "rep").join(n.select(F.col("rep").alias("twin"), F.col("split").alias("of"), F.col("n").alias("m"), "first"), "twin")
     seen = seen.withColumn("other", F.col("split") != F.col("of"))

@@ -120,7 +120,7 @@ def test_many_hashes_with_a_wide_radius_are_not_looked_up(spark):
     assert not N.in_tiles(256, 20, 10_000)
     rng = np.random.default_rng(3)
     members = N.classes(spark.createDataFrame([(i, [int(w) for w in rng.integers(0, 2**32, 2)]) for i in range(3000)], "id long, words array<long>"))
-    for found in (N.hamming_links(members, 64, 16),):
+    for found in (N.hamming_pairs(members, 64, 16), N.hamming_links(members, 64, 16)):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "transform(" not in plan and "Join Inner, (k" not in plan
 

@@ -6,8 +6,8 @@ Each rule is a CASE expression over named numbers, in the order in which it is w
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,23 +90,36 @@ def flatten(configs: DataFrame, *keys: str) -> DataFrame:
 
     def leaves(batches):
         for batch in batches:
-            out = [(i, *leaf) for i, text in enumerate(batch.column("config").to_pylist()) for leaf in _leaves("", json.loads(text))]
-            rows = pa.array([r[0] for r in out], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in keys), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.string())], [*keys, "path", "value"])
+            paths, values, ends = [], [], [0]
+            for text in batch.column("config").to_pylist():
+                _leaves("", json.loads(text), paths, values)
+                ends.append(len(paths))
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(ends)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in keys), pa.array(paths, pa.string()), pa.array(values, pa.string())], [*keys, "path", "value"])
 
     kinds = {f.name: f.dataType for f in configs.schema}
     schema = T.StructType([T.StructField(k, kinds[k]) for k in keys] + [T.StructField("path", T.StringType()), T.StructField("value", T.StringType())])
     return configs.select(*keys, "config").filter(F.col("config").isNotNull()).mapInArrow(leaves, schema)
 
 
-def _leaves(path: str, value) -> Iterator[tuple[str, str]]:
-    """Paths and values of what is not an object; text as it is, anything else as JSON."""
-    if isinstance(value, dict) and value:
+#: One encoder for all values: json.dumps makes a new one at each call with separators of its own.
+_as_json = json.JSONEncoder(separators=(",", ":")).encode
+
+
+def _leaves(path: str, value, paths: list[str], values: list[str]) -> None:
+    """Adds paths and values of what is not an object; text as it is, anything else as JSON."""
+    kind = type(value)
+    if kind is dict and value:
         for k, v in value.items():
-            yield from _leaves(f"{path}.{k}" if path else k, v)
+            _leaves(f"{path}.{k}" if path else k, v, paths, values)
+        return
+    paths.append(path)
+    if kind is str:
+        values.append(value)
+    elif kind is int or kind is float and value.is_integer():  # 1.0 is 1
+        values.append(str(int(value)))
     else:
-        whole = isinstance(value, float) and value.is_integer()  # 1.0 is 1
-        yield path, value if isinstance(value, str) else json.dumps(int(value) if whole else value, separators=(",", ":"))
+        values.append(_as_json(value))
 
 
 def config_diff(one: DataFrame, other: DataFrame, allowed: list[str], by_name: list[str]) -> DataFrame:

@@ -1,6 +1,10 @@
 """Gates and refusals where values are missing and tables empty."""
 
+import json
+
 from calibra.operators import gates as G
+from calibra.operators import rules as R
+from calibra.plans.registry import QUERIES
 
 
 def test_a_box_without_an_outcome_met_again_is_in_no_arm(spark):
@@ -42,3 +46,19 @@ def test_target_refusals(spark):
     again = gt.union(spark.createDataFrame([(2, "t")], gt.schema))
     assert sorted(map(tuple, G.target_refusals(again, "t", 2).collect())) == [("number", 3), ("several", 1)]
     assert [tuple(r) for r in G.target_refusals(gt.limit(0), "t", 2).collect()] == [("number", 0)]
+
+
+def test_each_configuration_is_opened_once(spark, sf_dir):
+    """Both sides were flattened together, and that twice: once for each side."""
+    for name, many in (("config_rule", 2), ("treatment_rule", 2)):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        opened = [line for line in plan.splitlines() if "MapInArrow" in line]
+        assert len(opened) == many and not any("side#" in line for line in opened)
+
+
+def test_leaves_of_every_kind(spark):
+    config = {"a": {"b": 1.0, "c": [1.0, {"d": None}], "e": {}, "f": {"g": "x \"y\""}}, "h": True, "i": None, "j": -0.5, "k": 10**30, "l": "", "m": 1e300, "n": []}
+    rows = R.flatten(spark.createDataFrame([(1, json.dumps(config)), (2, None), (3, "7"), (4, "{}")], "k int, config string"), "k").collect()
+    got = {(r.k, r.path): r.value for r in rows}
+    want = {"a.b": "1", "a.c": '[1.0,{"d":null}]', "a.e": "{}", "a.f.g": 'x "y"', "h": "true", "i": "null", "j": "-0.5", "k": "1" + "0" * 30, "l": "", "m": str(int(1e300)), "n": "[]"}
+    assert got == {(1, p): v for p, v in want.items()} | {(3, ""): "7", (4, ""): "{}"} and len(rows) == len(got)

@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibra.operators.batches import pictures_of
+from calibra.operators.batches import ROWS, pictures_of
 
 #: Fixed values of the CIELAB definition: white point D65, the two bounds, and the sRGB primaries.
 WHITE = np.array([0.95047, 1.0, 1.08883])
@@ -29,6 +30,24 @@ def _linear(c: np.ndarray) -> np.ndarray:
 _OF_BYTE = _linear(np.arange(256) / 255)
 
 
+def _by_channel(rgb: np.ndarray) -> np.ndarray:
+    """Linear light of pixels (n x 3 bytes), a row for each channel."""
+    return np.stack([_OF_BYTE.take(rgb[:, c]) for c in range(3)])
+
+
+def _curve(t: np.ndarray) -> np.ndarray:
+    f, dark = np.cbrt(t), np.flatnonzero(t <= EPS)
+    if len(dark):
+        f.put(dark, (KAPPA * t.take(dark) + 16) / 116)
+    return f
+
+
+def to_ab(rgb: np.ndarray) -> np.ndarray:
+    """a* and b* of pixels (n x 3 bytes), a row each, as to_lab() gives them."""
+    x, y, z = _curve(RGB_TO_XYZ @ _by_channel(rgb) / WHITE[:, None])
+    return np.stack([500 * (x - y), 200 * (y - z)])
+
+
 def to_lab(rgb: np.ndarray) -> np.ndarray:
     linear = _OF_BYTE[rgb] if rgb.dtype == np.uint8 else _linear(rgb.astype(float) / 255)
     t = linear @ RGB_TO_XYZ.T / WHITE
@@ -83,6 +102,31 @@ def place(shape: tuple[int, int], box: tuple[float, float, float, float]) -> tup
     return _span(shape[0], y, h), _span(shape[1], x, w)
 
 
+def places(shapes: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+    """place() of many boxes (n x 4) in pictures of so many rows and columns (n x 2): first and end row, first and end column."""
+    out = np.zeros((len(boxes), 4), np.int64)
+    for k in (0, 1):
+        size, at, length = shapes[:, k], boxes[:, 1 - k], boxes[:, 3 - k]
+        with np.errstate(invalid="ignore"):
+            span = np.stack([at - 0.5, at + length - 0.5])
+        empty = np.isnan(span).any(axis=0)
+        start, stop = np.clip(np.ceil(np.where(empty, 0.0, span)), 0, size).astype(np.int64)
+        out[:, 2 * k], out[:, 2 * k + 1] = start, np.where(empty, start, np.maximum(start, stop))
+    return out
+
+
+def boxes_of(column: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Classes and places (n x 4) of all boxes of some pictures, and where each picture's begin and the last one's end."""
+    if column.null_count:
+        raise ValueError("a picture without a list of boxes")
+    each = pc.list_flatten(column)
+    numbers = [pc.struct_field(each, c) for c in "xywh"]
+    if any(c.null_count for c in numbers):
+        raise ValueError("a box without a place")
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy())])
+    return pc.struct_field(each, "cls").to_pylist(), np.stack([c.to_numpy() for c in numbers], axis=1), ends
+
+
 def inside(shape: tuple[int, int], box: tuple[float, float, float, float]) -> np.ndarray:
     """Pixels whose centres lie in a box."""
     out = np.zeros(shape, bool)
@@ -97,6 +141,14 @@ def around(box: tuple[float, float, float, float]) -> tuple[float, float, float,
     return x - m, y - m, w + 2 * m, h + 2 * m
 
 
+def all_around(boxes: np.ndarray) -> np.ndarray:
+    """around() of many boxes (n x 4)."""
+    x, y, w, h = boxes.T
+    with np.errstate(invalid="ignore"):
+        m = np.fmax(RING_LEAST, RING_SHARE * np.fmax(w, h))
+        return np.stack([x - m, y - m, w + 2 * m, h + 2 * m], axis=1)
+
+
 def ring(shape, box, boxes) -> np.ndarray:
     """What surrounds a box, without any labelled box."""
     out = inside(shape, around(box))
@@ -111,21 +163,39 @@ def middle(box: tuple[float, float, float, float]) -> tuple[float, float, float,
     return x + w * (1 - CORE) / 2, y + h * (1 - CORE) / 2, w * CORE, h * CORE
 
 
+def all_middles(boxes: np.ndarray) -> np.ndarray:
+    """middle() of many boxes (n x 4)."""
+    x, y, w, h = boxes.T
+    with np.errstate(invalid="ignore"):
+        return np.stack([x + w * (1 - CORE) / 2, y + h * (1 - CORE) / 2, w * CORE, h * CORE], axis=1)
+
+
 def core(shape, box) -> np.ndarray:
     return inside(shape, middle(box))
 
 
 def outside(rgb: np.ndarray, boxes) -> np.ndarray:
     """Everything outside the boxes but pure black."""
-    out = rgb.any(axis=-1)
+    out = coloured(rgb)
     for b in boxes:
         out[place(rgb.shape[:2], b)] = False
     return out
 
 
+def coloured(rgb: np.ndarray) -> np.ndarray:
+    """Pixels that are not pure black."""
+    return (rgb[..., 0] | rgb[..., 1] | rgb[..., 2]) != 0
+
+
 def median(values: np.ndarray) -> float:
     """The median of at least one number, as np.median gives it."""
-    values, n = np.sort(values), len(values)
+    return sorted_median(np.array(values))
+
+
+def sorted_median(values: np.ndarray) -> float:
+    """median() of an array of its own, which is left sorted."""
+    values.sort()
+    n = len(values)
     return float(values[n // 2]) if n % 2 else float((values[n // 2 - 1] + values[n // 2]) / 2)
 
 
@@ -164,7 +234,7 @@ def masked_by(kind: str, rgb: np.ndarray, box, boxes) -> np.ndarray:
     """The pixels that a kind of arm changes: those around a box that are not black, or all outside the boxes."""
     if kind == "whole":
         return outside(rgb, boxes)
-    return ring(rgb.shape[:2], box, boxes) & rgb.any(axis=-1)
+    return ring(rgb.shape[:2], box, boxes) & coloured(rgb)
 
 
 def arm_pictures(rgb: np.ndarray, box, boxes, arms: list[str], targets: dict[str, tuple[float, float]]) -> Iterator[tuple[str, np.ndarray, float]]:
@@ -180,8 +250,17 @@ def arm_pictures(rgb: np.ndarray, box, boxes, arms: list[str], targets: dict[str
         yield arm, altered.copy(), clipped
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows at most."""
+    for whole in batches:
+        for first in range(0, whole.num_rows, rows):
+            yield whole.slice(first, rows)
+
+
 #: Rows that a task sends on together.
 HELD = 4096
+#: Columns of a picture.
+PICTURE = ["image", "width", "height", "data"]
 MEASURES = "image string, box int, ring_pixels int, ring_a double, ring_b double, plate_chroma double"
 
 
@@ -192,24 +271,31 @@ def measure(pictures: DataFrame, target: Callable[[str], bool] | None = None) ->
     is an error. `target` picks the classes that are measured; pictures without one should be dropped before.
     """
 
-    def measured(rgb: np.ndarray, kinds: list[str], boxes: list[tuple]) -> Iterator[tuple]:
-        shape = rgb.shape[:2]
-        free, wanted = outside(rgb, boxes), [i for i, k in enumerate(kinds) if target is None or target(k)]
-        rings, cores = [[place(shape, part(boxes[i])) for i in wanted] for part in (around, middle)]
+    def measured(rgb: np.ndarray, wanted: list[int], own: list[list[int]], rings: list[list[int]], cores: list[list[int]]) -> Iterator[tuple]:
+        free = coloured(rgb)
+        for top, low, left, right in own:
+            free[top:low, left:right] = False
         # Only pixels of a ring or a core need their colour.
-        need = np.zeros(shape, bool)
-        for at in rings:
-            need[at] = True
+        need = np.zeros(free.shape, bool)
+        for i in wanted:
+            top, low, left, right = rings[i]
+            need[top:low, left:right] = True
         need &= free
-        for at in cores:
-            need[at] = True
-        lab, a, b = to_lab(rgb[need]), np.empty(shape), np.empty(shape)
-        a[need], b[need] = lab[:, 1], lab[:, 2]
-        for i, wide, mid in zip(wanted, rings, cores, strict=True):
-            shown = free[wide]
-            n = int(np.count_nonzero(shown))
-            chroma = np.hypot(a[mid], b[mid]).ravel()
-            yield i, n, *((median(a[wide][shown]), median(b[wide][shown])) if n >= RING_PIXELS else (None, None)), median(chroma) if len(chroma) else None
+        for i in wanted:
+            top, low, left, right = cores[i]
+            need[top:low, left:right] = True
+        at = np.flatnonzero(need)
+        ab = np.empty((2, *free.shape))
+        ab.reshape(2, -1)[:, at] = to_ab(rgb.reshape(-1, 3).take(at, axis=0))
+        for i in wanted:
+            top, low, left, right = rings[i]
+            shown = free[top:low, left:right]
+            n, values = int(np.count_nonzero(shown)), [None, None]
+            if n >= RING_PIXELS:
+                values = [sorted_median(c[top:low, left:right][shown]) for c in ab]
+            top, low, left, right = cores[i]
+            chroma = np.hypot(*ab[:, top:low, left:right]).ravel()
+            yield i, n, *values, sorted_median(chroma) if len(chroma) else None
 
     def packed(out: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
@@ -217,12 +303,17 @@ def measure(pictures: DataFrame, target: Callable[[str], bool] | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for image, rgb, other in pictures_of(batches):
-            boxes = [(b["x"], b["y"], b["w"], b["h"]) for b in other["boxes"]]
-            out += [(image, *m) for m in measured(rgb, [b["cls"] for b in other["boxes"]], boxes)]
-            if len(out) >= HELD:
-                yield packed(out)
-                out = []
+        for batch in pieces(batches):
+            kinds, boxes, ends = boxes_of(batch.column("boxes"))
+            shapes = np.stack([batch.column(c).to_numpy() for c in ("height", "width")], axis=1).repeat(np.diff(ends), axis=0)
+            spans = [places(shapes, part).tolist() for part in (boxes, all_around(boxes), all_middles(boxes))]
+            for k, (image, rgb, _) in enumerate(pictures_of([batch.select(PICTURE)])):
+                first, end = ends[k], ends[k + 1]
+                wanted = [i for i, c in enumerate(kinds[first:end]) if target is None or target(c)]
+                out += [(image, *m) for m in measured(rgb, wanted, *(part[first:end] for part in spans))]
+                if len(out) >= HELD:
+                    yield packed(out)
+                    out = []
         if out:
             yield packed(out)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from calibra.functions.geometry import box, iou, iou_of, overlap
+from calibra.functions.geometry import box, iou, iou_of
 from calibra.functions.scalars import ratio, wilson
 from calibra.operators.ranges import running
 
@@ -18,20 +18,37 @@ MISSED, BACKGROUND = "missed", "background"
 MIN_IOU = 0.5
 
 
+def _edges(b: Column, *more: Column) -> Column:
+    """A box by its edges and its area, in one struct without another within."""
+    return F.struct(b["x"].alias("x0"), b["y"].alias("y0"), (b["x"] + b["w"]).alias("x1"), (b["y"] + b["h"]).alias("y1"), (b["w"] * b["h"]).alias("area"), *more)
+
+
+def _inner(a: Column, b: Column) -> Column:
+    """geometry.overlap() of two boxes by their edges."""
+    side = lambda low, high: F.greatest(F.lit(0.0), F.least(a[high], b[high]) - F.greatest(a[low], b[low]))
+    return side("x0", "x1") * side("y0", "y1")
+
+
 def _overlapping(gts: Column, p: Column) -> Column:
-    """iou and idx of the boxes that a prediction may take. Each overlap is evaluated once; most boxes have none."""
-    met = F.transform(gts, lambda g: F.struct(overlap(g["box"], p["box"]).alias("inner"), (g["box"]["w"] * g["box"]["h"] + p["box"]["w"] * p["box"]["h"]).alias("areas"), g["idx"].alias("idx")))
-    met = F.transform(F.filter(met, lambda m: m["inner"] > 0), lambda m: F.struct(iou_of(m["inner"], m["areas"]).alias("iou"), m["idx"].alias("idx")))
+    """iou and idx of the boxes that a prediction may take, all by their edges. Most boxes have no overlap."""
+    met = F.transform(F.filter(gts, lambda g: _inner(g, p) > 0), lambda g: F.struct(iou_of(_inner(g, p), g["area"] + p["area"]).alias("iou"), g["idx"].alias("idx")))
     return F.filter(met, lambda m: m["iou"] >= MIN_IOU)
 
 
+def _candidates(preds: Column, gts: Column) -> Column:
+    """_overlapping() of each of preds; edges are taken once for each box."""
+    edges = F.transform(gts, lambda g: _edges(g["box"], g["idx"].alias("idx")))
+    found = F.transform(F.array(edges), lambda gs: F.transform(F.transform(preds, lambda p: _edges(p["box"])), lambda p: _overlapping(gs, p)))
+    return F.get(found, F.lit(0))
+
+
 def fold(preds: Column, gts: Column) -> Column:
     """For each of preds(box), in the given order, the idx of the one of gts(idx, box) that it takes, or null."""
 
     def step(acc: Column, some: Column) -> Column:
         # Of equal overlaps the highest index wins.
         best = F.array_max(F.filter(some, lambda m: ~F.array_contains(acc["used"], m["idx"])))
-        return F.get(
+        after = F.get(
             F.transform(
                 F.array(best),
                 lambda b: F.struct(
@@ -41,9 +58,12 @@ def fold(preds: Column, gts: Column) -> Column:
             ),
             F.lit(0),
         )
+        # Most predictions may take none.
+        none = F.struct(acc["used"].alias("used"), F.concat(acc["out"], F.array(F.lit(None).cast("bigint"))).alias("out"))
+        return F.when(F.size(some) == 0, none).otherwise(after)
 
     empty = F.array().cast("array<bigint>")
-    return F.aggregate(F.transform(preds, lambda p: _overlapping(gts, p)), F.struct(empty.alias("used"), empty.alias("out")), step, lambda acc: acc["out"])
+    return F.aggregate(_candidates(preds, gts), F.struct(empty.alias("used"), empty.alias("out")), step, lambda acc: acc["out"])
 
 
 def match(gt: DataFrame, pred: DataFrame, by_class: bool = False) -> DataFrame:

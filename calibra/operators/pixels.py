@@ -237,17 +237,65 @@ def masked_by(kind: str, rgb: np.ndarray, box, boxes) -> np.ndarray:
     return ring(rgb.shape[:2], box, boxes) & coloured(rgb)
 
 
+def painted(rgb: np.ndarray, target: tuple[float, float] | None) -> tuple[np.ndarray, np.ndarray]:
+    """What recoloured() makes of pixels (n x 3 bytes), and which of them it clips; a row for each channel within."""
+    linear = _by_channel(rgb)
+    if target is None:
+        f = _curve(RGB_TO_XYZ @ linear / WHITE[:, None])
+        # By way of a* and b*, as the other arms go.
+        a, b = 500 * (f[0] - f[1]), 200 * (f[1] - f[2])
+        f[0], f[2] = f[1] + a / 500, f[1] - b / 200
+    else:
+        # Of the old colour only lightness is left.
+        fy = _curve(RGB_TO_XYZ[1] @ linear / WHITE[1])
+        f = np.stack([fy + target[0] / 500, fy, fy - target[1] / 200])
+    t = f * f * f
+    dark = np.flatnonzero(t <= EPS)
+    if len(dark):
+        t.put(dark, (116 * f.take(dark) - 16) / KAPPA)
+    t *= WHITE[:, None]
+    linear = XYZ_TO_RGB @ t
+    c = np.maximum(linear, 0.0031308)
+    np.power(c, 1 / 2.4, out=c)
+    c *= 1.055
+    c -= 0.055
+    dark = np.flatnonzero(linear <= 0.0031308)
+    if len(dark):
+        c.put(dark, 12.92 * linear.take(dark))
+    c *= 255
+    fresh = np.rint(c, out=c)
+    clipped = ((fresh < 0) | (fresh > 255)).any(axis=0)
+    return np.clip(fresh, 0, 255, out=fresh).astype(np.uint8).T, clipped
+
+
 def arm_pictures(rgb: np.ndarray, box, boxes, arms: list[str], targets: dict[str, tuple[float, float]]) -> Iterator[tuple[str, np.ndarray, float]]:
-    """Each arm with its altered picture and the share of changed pixels that was clipped. Arms with one mask share it and its colours."""
+    """Each arm with its altered picture and the share of changed pixels that was clipped. Arms with one mask share it."""
     masks = {kind: masked_by(kind, rgb, box, boxes) for kind in sorted({ARMS[a][0] for a in arms})}
-    labs = {kind: to_lab(rgb[mask]) for kind, mask in masks.items()}
+    return altered_by(rgb, masks, arms, targets)
+
+
+def altered_by(rgb: np.ndarray, masks: dict[str, np.ndarray], arms: list[str], targets: dict[str, tuple[float, float]]) -> Iterator[tuple[str, np.ndarray, float]]:
+    """arm_pictures() with the mask of each kind. A pixel gets a colour once, however many masks have it."""
     made: dict[tuple, tuple[np.ndarray, float]] = {}
+    for colour in dict.fromkeys(ARMS[a][1] for a in arms):
+        kinds = list(dict.fromkeys(ARMS[a][0] for a in arms if ARMS[a][1] == colour))
+        at = np.flatnonzero(masks[kinds[0]] if len(kinds) == 1 else np.logical_or.reduce([masks[k] for k in kinds]))
+        fresh, clipped = painted(rgb.reshape(-1, 3).take(at, axis=0), None if colour is None else targets[colour])
+        # A pixel's three bytes move as one value.
+        fresh = np.ascontiguousarray(fresh).view("V3").reshape(-1)
+        for kind in kinds:
+            altered = np.array(rgb, order="C")
+            chosen = masks[kind].ravel().take(at) if len(kinds) > 1 else None
+            if chosen is None or chosen.all():
+                altered.view("V3").reshape(-1)[at] = fresh
+                lost = clipped
+            else:
+                altered.view("V3").reshape(-1)[at[chosen]] = fresh[chosen]
+                lost = clipped[chosen]
+            made[kind, colour] = altered, float(lost.mean()) if len(lost) else 0.0
     for arm in arms:
-        kind, colour = ARMS[arm]
-        if ARMS[arm] not in made:
-            made[ARMS[arm]] = recoloured(rgb, masks[kind], labs[kind], None if colour is None else targets[colour])
-        altered, clipped = made[ARMS[arm]]
-        yield arm, altered.copy(), clipped
+        altered, share = made[ARMS[arm]]
+        yield arm, altered.copy(), share
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
@@ -352,29 +400,38 @@ def read_arms(pictures: DataFrame, targets: dict[str, tuple[float, float]], mode
     stored.
     """
 
-    def packed(rows: list[tuple]) -> pa.RecordBatch:
-        images, boxes, at, arms, clipped, found = zip(*rows, strict=True)
+    def packed(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        at, arms, clipped, found = zip(*rows, strict=True)
         ends = np.concatenate([[0], np.cumsum([len(f) for f in found])])
-        flat = [d for f in found for d in f]
         idx = np.arange(ends[-1]) - np.repeat(ends[:-1], np.diff(ends))
-        numbers = np.array([d[1:6] for d in flat], float).reshape(-1, 5)
-        fields = [pa.array(idx), pa.array([d[0] for d in flat], pa.string()), *(pa.array(np.ascontiguousarray(c)) for c in numbers.T)]
+        columns = list(zip(*(d[:6] for f in found for d in f), strict=True)) or [()] * 6
+        fields = [pa.array(idx), *(pa.array(c, pa.float64() if k else pa.string()) for k, c in enumerate(columns))]
         each = pa.StructArray.from_arrays(fields, ["pred_idx", "cls", "conf", "x", "y", "w", "h"])
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)
-        kind = pa.list_(pa.struct([("cls", pa.string()), *((c, pa.float64()) for c in "xywh")]))
-        return pa.RecordBatch.from_arrays([pa.array(images, pa.string()), pa.array(boxes, kind), pa.array(at, pa.int32()), pa.array(arms, pa.string()), pa.array(clipped, pa.float64()), lists], ["image", "boxes", "target", "arm", "clipped", "found"])
+        same = batch.select(["image", "boxes", "target"]).take(pa.array(at))
+        return pa.RecordBatch.from_arrays([*same.columns, pa.array(arms, pa.string()), pa.array(clipped, pa.float64()), lists], ["image", "boxes", "target", "arm", "clipped", "found"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for image, rgb, other in pictures_of(batches):
-            boxes = [(b["x"], b["y"], b["w"], b["h"]) for b in other["boxes"]]
-            for arm, altered, clipped in arm_pictures(rgb, boxes[other["target"]], boxes, other["arms"], targets):
-                rows.append((image, other["boxes"], other["target"], arm, clipped, model(altered)))
-            if len(rows) >= HELD // 8:
-                yield packed(rows)
-                rows = []
-        if rows:
-            yield packed(rows)
+        for batch in pieces(batches, HELD // 32):
+            _, boxes, ends = boxes_of(batch.column("boxes"))
+            shapes = np.stack([batch.column(c).to_numpy() for c in ("height", "width")], axis=1)
+            own = places(shapes.repeat(np.diff(ends), axis=0), boxes).tolist()
+            at, arms = batch.column("target").to_numpy(), batch.column("arms").to_pylist()
+            if ((at < 0) | (at >= np.diff(ends))).any():
+                raise ValueError("a target that is not among its picture's boxes")
+            wide = places(shapes, all_around(boxes[ends[:-1] + at])).tolist()
+            rows: list[tuple] = []
+            for k, (_, rgb, _) in enumerate(pictures_of([batch.select(PICTURE)])):
+                masks = {"whole": coloured(rgb)}
+                for top, low, left, right in own[ends[k] : ends[k + 1]]:
+                    masks["whole"][top:low, left:right] = False
+                if any(ARMS[a][0] == "ring" for a in arms[k]):
+                    top, low, left, right = wide[k]
+                    masks["ring"] = np.zeros(rgb.shape[:2], bool)
+                    masks["ring"][top:low, left:right] = masks["whole"][top:low, left:right]
+                rows += [(k, arm, clipped, model(altered)) for arm, altered, clipped in altered_by(rgb, masks, arms[k], targets)]
+            if rows:
+                yield packed(batch, rows)
 
     fields = "array<struct<cls: string, x: double, y: double, w: double, h: double>>"
     return pictures.select("image", "width", "height", "data", "boxes", "target", "arms").mapInArrow(run, f"image string, boxes {fields}, target int, arm string, clipped double, found array<{FOUND}>")
